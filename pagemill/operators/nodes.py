@@ -175,9 +175,8 @@ def serialize(nodes: DataFrame, key_cols=("page_id",), out_col: str = "html") ->
     """
     key_cols = list(key_cols)
     parents = nodes.where(F.col("kind") == "element").select(
-        *key_cols, F.col("pre").alias("_ppre"), F.col("tag").alias("_ptag"))
-    withp = nodes.join(parents, [*[nodes[k] == parents[k] for k in key_cols], nodes["parent"] == parents["_ppre"]], "left") \
-        .select(*[nodes[k] for k in key_cols], *[nodes[c] for c in NODE_COLUMNS], parents["_ptag"])
+        *key_cols, F.col("pre").alias("parent"), F.col("tag").alias("_ptag"))
+    withp = nodes.join(parents, [*key_cols, "parent"], "left")
     ev = withp.select(
         *key_cols,
         F.explode(F.array(
