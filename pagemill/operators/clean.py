@@ -103,12 +103,17 @@ def drop_gibberish(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("attrs", F.when(_is_el() & F.coalesce(needs, F.lit(False)), fixed).otherwise(F.col("attrs")))
 
 
-def prune_empty(nodes: DataFrame) -> DataFrame:
+def mark_survivors(nodes: DataFrame, out: str = "survives") -> DataFrame:
     """C7 in closed form: an element survives iff its subtree (self included)
     holds a text node or an element with at least one attribute."""
     keeper = (F.col("kind") == "text") | (_is_el() & (F.coalesce(F.size("attrs"), F.lit(0)) > 0)) | \
              ~F.col("kind").isin("element", "text")
-    return nodes.withColumn("_keep", ~_is_el() | subtree_has(keeper)).where("_keep").drop("_keep")
+    return nodes.withColumn(out, ~_is_el() | subtree_has(keeper))
+
+
+def prune_empty(nodes: DataFrame) -> DataFrame:
+    """Drop the elements that the repeated empty-element removal drops."""
+    return mark_survivors(nodes, "_keep").where("_keep").drop("_keep")
 
 
 def same_host_relative(value: Column, base_url: Column) -> Column:
