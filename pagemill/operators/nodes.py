@@ -121,7 +121,7 @@ def by_page(nodes: DataFrame, key: str = "page_id", partitions: int | None = Non
 def attr(name: str, attrs: Column | str = "attrs") -> Column:
     """Value of the first attribute called ``name`` (null when absent)."""
     a = F.col(attrs) if isinstance(attrs, str) else attrs
-    return F.filter(a, lambda x: x["name"] == F.lit(name))[0]["value"]
+    return F.get(F.filter(a, lambda x: x["name"] == F.lit(name)), 0)["value"]
 
 
 def has_attr(name: str, attrs: Column | str = "attrs") -> Column:
