@@ -39,6 +39,10 @@ IMPLIED_END = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 SCOPE_BOUNDARY = frozenset("applet caption html table td th marquee object template".split())
 MARKER_ELEMENTS = frozenset("applet object marquee td th caption template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCK_END = frozenset(
+    "address article aside blockquote button center details dialog dir div dl fieldset figcaption figure footer "
+    "header hgroup listing main menu nav ol pre search section summary ul form".split()
+)
 
 
 class _Builder(HTMLParser):
@@ -347,6 +351,16 @@ class _Builder(HTMLParser):
             return
         if tag in FORMATTING and self._close_formatting(tag):
             return
+        if tag in BLOCK_END:
+            if self._in_scope({tag}):
+                self._implied_end()
+                self._pop_until({tag})
+            return
+        if tag in ("dd", "dt"):
+            if self._in_scope({tag}):
+                self._implied_end(tag)
+                self._pop_until({tag})
+            return
         if tag in ("li",):
             if self._in_scope({"li"}, {"ol", "ul"}):
                 self._implied_end("li")

@@ -53,3 +53,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="pagemill-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def cut(df):
+    """Materialise ``df`` into the shared checkpoint folder and return a
+    DataFrame that reads it back: ends lineage (plan size, recovery after a
+    lost executor) for iterative and reused intermediate results."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
