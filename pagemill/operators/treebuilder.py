@@ -91,9 +91,12 @@ class _Builder(HTMLParser):
             self._append("text", text=data)
 
     # ---- document scaffolding -------------------------------------------
-    def _ensure_html(self):
+    def _ensure_html(self, attrs=None):
         if self.html_el is None:
-            self.html_el = self._element("html", [])
+            self.html_el = self._element("html", list(attrs or []))
+        elif attrs:
+            have = {k for k, _ in self.attrs[self.html_el]}
+            self.attrs[self.html_el].extend((k, v) for k, v in attrs if k not in have)
 
     def _ensure_head(self):
         self._ensure_html()
@@ -234,7 +237,7 @@ class _Builder(HTMLParser):
             if self.fragment:
                 return
             if tag == "html":
-                self._ensure_html()
+                self._ensure_html(clean)
             elif tag == "head":
                 if self.body_el is None and not self.head_closed:
                     self._ensure_head()
