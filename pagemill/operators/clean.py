@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.identifiers import is_gibberish
 from pagemill.functions.text import truncate_attr, truncate_text, utf16_len
 from pagemill.operators.nodes import NODE_COLUMNS, ATTR_TYPE, parse_pages, serialize
-from pagemill.operators.structure import inside_marked, subtree_has
+from pagemill.operators.structure import inside_marked, subtree_has, tighten_ends
 
 # Fixed values that must equal the reference's.
 NON_RENDERABLE_TAGS = ["script", "style", "iframe", "embed", "object", "meta", "svg", "path", "canvas",
@@ -174,7 +174,7 @@ def clean_nodes(pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     n = prune_empty(n)
     n = rewrite_urls(n, pages.select("page_id", "url"))
     n = truncate_attributes(n)
-    return n.select("page_id", *NODE_COLUMNS)
+    return tighten_ends(n.select("page_id", *NODE_COLUMNS))
 
 
 def cleaned_html(pages: DataFrame, cleaned: DataFrame | None = None) -> DataFrame:

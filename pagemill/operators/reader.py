@@ -40,19 +40,30 @@ def element_text(nodes: DataFrame) -> DataFrame:
     n = n.withColumn("_in_a", inside_marked((F.col("kind") == "element") & (F.col("tag") == "a")))
     n = n.withColumn("_in_p", inside_marked((F.col("kind") == "element") & (F.col("tag") == "p")))
     t = F.when((F.col("kind") == "text") & ~F.col("_skip"), utf16_len("text")).otherwise(F.lit(0))
-    w = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = (n.withColumn("_t", t)
-         .withColumn("_cum", F.sum("_t").over(w))
-         .withColumn("_cum_a", F.sum(F.when(F.col("_in_a"), F.col("_t")).otherwise(0)).over(w))
-         .withColumn("_cum_p", F.sum(F.when(F.col("_in_p"), F.col("_t")).otherwise(0)).over(w)))
-    ends = n.select("page_id", F.col("pre").alias("pre_end"), F.col("_cum").alias("_e"), F.col("_cum_a").alias("_ea"),
-                    F.col("_cum_p").alias("_ep"))
-    el = n.where(F.col("kind") == "element").join(ends, ["page_id", "pre_end"])
-    return el.select(
+         .withColumn("_ta", F.when(F.col("_in_a"), F.col("_t")).otherwise(0))
+         .withColumn("_tp", F.when(F.col("_in_p"), F.col("_t")).otherwise(0)))
+    # element rows open at pre - 0.5 and close at pre_end + 0.5; running sums
+    # read at both give the subtree totals even when pre_end's row was removed
+    rows = n.select("page_id", "pre", "pre_end", "depth", "tag", "attrs", "kind", F.col("pre").cast("double").alias("_pos"),
+                    "_t", "_ta", "_tp", F.lit(0).alias("_side"))
+    el = n.where(F.col("kind") == "element")
+    opens = el.select("page_id", "pre", (F.col("pre") - F.lit(0.5)).alias("_pos"), F.lit(1).alias("_side"))
+    closes = el.select("page_id", "pre", (F.col("pre_end") + F.lit(0.5)).alias("_pos"), F.lit(2).alias("_side"))
+    u = rows.unionByName(opens, allowMissingColumns=True).unionByName(closes, allowMissingColumns=True)
+    w = Window.partitionBy("page_id").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = (u.withColumn("_c", F.sum(F.coalesce("_t", F.lit(0))).over(w))
+          .withColumn("_ca", F.sum(F.coalesce("_ta", F.lit(0))).over(w))
+          .withColumn("_cp", F.sum(F.coalesce("_tp", F.lit(0))).over(w)))
+    o = u.where(F.col("_side") == 1).select("page_id", "pre", F.col("_c").alias("_o"), F.col("_ca").alias("_oa"), F.col("_cp").alias("_op"))
+    c = u.where(F.col("_side") == 2).select("page_id", "pre", F.col("_c").alias("_e"), F.col("_ca").alias("_ea"), F.col("_cp").alias("_ep"))
+    e = u.where((F.col("_side") == 0) & (F.col("kind") == "element")).select("page_id", "pre", "pre_end", "depth", "tag", "attrs")
+    j = e.join(o, ["page_id", "pre"]).join(c, ["page_id", "pre"])
+    return j.select(
         "page_id", "pre", "pre_end", "depth", "tag", "attrs",
-        (F.col("_e") - F.col("_cum") + F.col("_t")).alias("text_chars"),
-        (F.col("_ea") - F.col("_cum_a") + F.when(F.col("_in_a"), F.col("_t")).otherwise(0)).alias("link_chars"),
-        (F.col("_ep") - F.col("_cum_p") + F.when(F.col("_in_p"), F.col("_t")).otherwise(0)).alias("p_chars"),
+        (F.col("_e") - F.col("_o")).alias("text_chars"),
+        (F.col("_ea") - F.col("_oa")).alias("link_chars"),
+        (F.col("_ep") - F.col("_op")).alias("p_chars"),
     )
 
 

@@ -72,3 +72,20 @@ def remove_subtrees(nodes: DataFrame, root_mark: Column, key_cols=("page_id",))
 def element_children_count(key_cols=("page_id",)) -> Column:
     w = Window.partitionBy(*_keys(key_cols), "parent")
     return F.count(F.lit(1)).over(w)
+
+
+def tighten_ends(nodes: DataFrame, key_cols=("page_id",)) -> DataFrame:
+    """Recompute ``pre_end`` as the last *remaining* node of each subtree
+    after nodes were removed: a probe row at ``pre_end + 0.5`` reads the
+    running max of ``pre`` in document order (one union, one window)."""
+    keys = _keys(key_cols)
+    base = nodes.withColumn("_pos", F.col("pre").cast("double")).withColumn("_probe", F.lit(False))
+    probes = nodes.select(*keys, F.col("pre").alias("_of"), (F.col("pre_end") + F.lit(0.5)).alias("_pos"),
+                          F.lit(True).alias("_probe"))
+    u = base.unionByName(probes, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = u.withColumn("_last", F.max(F.when(~F.col("_probe"), F.col("pre"))).over(w))
+    ends = u.where("_probe").select(*keys, F.col("_of").alias("pre"), F.col("_last").alias("_new_end"))
+    return (nodes.join(ends, [*keys, "pre"], "left")
+            .withColumn("pre_end", F.coalesce(F.greatest(F.col("_new_end"), F.col("pre")), F.col("pre")))
+            .drop("_new_end"))

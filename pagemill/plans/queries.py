@@ -159,4 +159,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     """Import the modules that register further queries."""
-    from pagemill.plans import queries_nodes, queries_presets, queries_reader  # noqa: F401
+    from pagemill.plans import queries_compare, queries_nodes, queries_presets, queries_reader  # noqa: F401
