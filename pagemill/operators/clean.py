@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.identifiers import is_gibberish
 from pagemill.functions.text import truncate_attr, truncate_text, utf16_len
-from pagemill.operators.nodes import NODE_COLUMNS, ATTR_TYPE, parse_pages, serialize
+from pagemill.operators.nodes import NODE_COLUMNS, ATTR_TYPE, node_table, serialize
+from pagemill.session import cut
 from pagemill.operators.structure import inside_marked, subtree_has, tighten_ends
 
 # Fixed values that must equal the reference's.
@@ -164,8 +165,8 @@ def clean_nodes(pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
 
     ``parsed`` may pass an already pre-decoded node table (N1 + N3).
     """
-    nodes = parsed if parsed is not None else parse_pages(pages, predecode=True)
-    n = scope_to_body(nodes.repartition("page_id"))
+    nodes = parsed if parsed is not None else node_table(pages, predecode=True)
+    n = scope_to_body(nodes)
     n = drop_non_renderable(n)
     n = drop_comments(n)
     n = truncate_text_nodes(n)
@@ -174,7 +175,7 @@ def clean_nodes(pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     n = prune_empty(n)
     n = rewrite_urls(n, pages.select("page_id", "url"))
     n = truncate_attributes(n)
-    return tighten_ends(n.select("page_id", *NODE_COLUMNS))
+    return cut(tighten_ends(n.select("page_id", *NODE_COLUMNS)))
 
 
 def cleaned_html(pages: DataFrame, cleaned: DataFrame | None = None) -> DataFrame:

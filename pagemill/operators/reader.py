@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import utf16_len
 from pagemill.operators.markdown import render
-from pagemill.operators.nodes import NODE_COLUMNS, attr, parse_pages
+from pagemill.operators.nodes import NODE_COLUMNS, attr, node_table
 from pagemill.operators.structure import inside_marked
 
 MIN_CONTENT_LENGTH = 140
@@ -123,7 +123,7 @@ def metadata(nodes: DataFrame) -> DataFrame:
 def reader_mode(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``(page_id, status, markdown, meta STRUCT<title, length, excerpt,
     byline, siteName, lang, publishedTime, dir>)``."""
-    nodes = nodes if nodes is not None else parse_pages(pages).repartition("page_id")
+    nodes = nodes if nodes is not None else node_table(pages)
     blank = pages.select("page_id", (F.col("html").isNull() | (F.length(F.trim("html")) == 0)).alias("blank"))
     el = element_text(nodes)
     best = choose_container(el)

@@ -8,7 +8,7 @@ from pagemill.functions import text as tx
 from pagemill.operators import compare as K
 from pagemill.operators import induce as I
 from pagemill.operators.clean import clean_nodes
-from pagemill.operators.nodes import parse_pages
+from pagemill.operators.nodes import node_table
 from pagemill.plans.queries import register
 from pagemill.plans.queries_presets import site_presets
 from pagemill.session import checkpoint_dir, cut
@@ -19,7 +19,7 @@ _HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)', 1))"
 
 def _results(spark, sf_dir):
     pages = read_pages(spark, sf_dir)
-    nodes = parse_pages(pages).repartition("page_id")
+    nodes = node_table(pages)
     return pages, cut(K.method_results(pages, nodes, site_presets(pages)))
 
 
@@ -82,7 +82,7 @@ def i1_capped_clean_html(spark, sf_dir):
 
 def _mined(spark, sf_dir):
     pages = read_pages(spark, sf_dir)
-    cleaned = cut(clean_nodes(pages).repartition("page_id"))
+    cleaned = clean_nodes(pages)
     return pages, cleaned
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.operators import presets as P
 from pagemill.operators.markdown import html_to_markdown, render
-from pagemill.operators.nodes import parse_pages
+from pagemill.operators.nodes import node_table
 from pagemill.operators.selectors import select
 from pagemill.plans.queries import register
 from pagemill.sources.pages import read_pages
@@ -39,7 +39,7 @@ def site_presets(pages):
 
 def _run(spark, sf_dir):
     pages = read_pages(spark, sf_dir)
-    nodes = parse_pages(pages).repartition("page_id")
+    nodes = node_table(pages)
     return P.run_presets(nodes, pages, site_presets(pages)), nodes, pages
 
 
@@ -73,7 +73,7 @@ WITH c AS (
 SELECT page_id, selector, CAST(hits AS BIGINT) AS hits FROM c WHERE hits > 0
 """)
 def p1_select(spark, sf_dir):
-    nodes = parse_pages(read_pages(spark, sf_dir)).repartition("page_id")
+    nodes = node_table(read_pages(spark, sf_dir))
     m = select(nodes, P1_SELECTORS)
     return m.groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("hits"))
 
@@ -246,5 +246,5 @@ def m14_literal_markdown(spark, sf_dir):
 def m14_preset_markdown(spark, sf_dir):
     run, nodes, _ = _run(spark, sf_dir)
     res, doc = P.apply_presets(run, nodes)
-    md = render(doc.repartition("page_id"), keys=("page_id", "preset_id"))
+    md = render(doc, keys=("page_id", "preset_id"))
     return res.where("status = 'ok'").select("page_id", "preset_id").join(md, ["page_id", "preset_id"], "left")

@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import presets as P
 from pagemill.operators.markdown import render
-from pagemill.operators.nodes import parse_pages
+from pagemill.operators.nodes import node_table
 from pagemill.sources.pages import PAGES_SCHEMA
 
 
 def extract_batch(pages: DataFrame, presets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Batch form of the serving step: ``(extracts, queue)``."""
-    nodes = parse_pages(pages).repartition("page_id")
+    nodes = node_table(pages)
     run = P.run_presets(nodes, pages, presets)
     chosen, queue = P.choose_preset(run)
     res, doc = P.apply_presets(run, nodes)
-    md = render(doc.repartition("page_id"), keys=("page_id", "preset_id"))
+    md = render(doc, keys=("page_id", "preset_id"))
     ext = (chosen.join(res, ["page_id", "preset_id"]).join(md, ["page_id", "preset_id"], "left")
            .join(pages.select("page_id", "url"), "page_id")
            .select("page_id", "url", "preset_id", "status", F.coalesce("markdown", F.lit("")).alias("markdown")))
