@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import utf16_len
 from pagemill.operators.markdown import render
 from pagemill.operators.nodes import NODE_COLUMNS, attr, node_table
-from pagemill.operators.structure import inside_marked
+from pagemill.operators.structure import open_counts
 
 MIN_CONTENT_LENGTH = 140
 MIN_SCORE = 20.0
@@ -36,9 +36,12 @@ SKIP_TAGS = ["script", "style", "noscript", "template", "head"]
 def element_text(nodes: DataFrame) -> DataFrame:
     """Element rows with ``text_chars``, ``link_chars``, ``p_chars`` and the
     trimmed text length of the subtree."""
-    n = nodes.withColumn("_skip", inside_marked((F.col("kind") == "element") & F.col("tag").isin(SKIP_TAGS)))
-    n = n.withColumn("_in_a", inside_marked((F.col("kind") == "element") & (F.col("tag") == "a")))
-    n = n.withColumn("_in_p", inside_marked((F.col("kind") == "element") & (F.col("tag") == "p")))
+    el_ = F.col("kind") == "element"
+    n = open_counts(nodes, {"_c_skip": (el_ & F.col("tag").isin(SKIP_TAGS), False),
+                            "_c_a": (el_ & (F.col("tag") == "a"), False),
+                            "_c_p": (el_ & (F.col("tag") == "p"), False)})
+    n = (n.withColumn("_skip", F.col("_c_skip") > 0).withColumn("_in_a", F.col("_c_a") > 0)
+          .withColumn("_in_p", F.col("_c_p") > 0).drop("_c_skip", "_c_a", "_c_p"))
     t = F.when((F.col("kind") == "text") & ~F.col("_skip"), utf16_len("text")).otherwise(F.lit(0))
     n = (n.withColumn("_t", t)
          .withColumn("_ta", F.when(F.col("_in_a"), F.col("_t")).otherwise(0))

@@ -89,3 +89,34 @@ def tighten_ends(nodes: DataFrame, key_cols=("page_id",)) -> DataFrame:
     return (nodes.join(ends, [*keys, "pre"], "left")
             .withColumn("pre_end", F.coalesce(F.greatest(F.col("_new_end"), F.col("pre")), F.col("pre")))
             .drop("_new_end"))
+
+
+def open_counts(nodes: DataFrame, marks: dict, key_cols=("page_id",)) -> DataFrame:
+    """Several ``open_count`` columns in one union and one window.
+
+    ``marks`` maps an output column to ``(mark Column, strict)``; each output
+    is the number of marked ancestors (self included unless strict).
+    """
+    keys = _keys(key_cols)
+    base = nodes
+    names = list(marks)
+    for i, name in enumerate(names):
+        base = base.withColumn(f"_m{i}", F.coalesce(marks[name][0], F.lit(False)))
+    node_ev = base.withColumn("_pos", F.col("pre").cast("double")).withColumn("_node", F.lit(True))
+    for i in range(len(names)):
+        node_ev = node_ev.withColumn(f"_d{i}", F.when(F.col(f"_m{i}"), 1).otherwise(0))
+    any_mark = F.lit(False)
+    for i in range(len(names)):
+        any_mark = any_mark | F.col(f"_m{i}")
+    closes = base.where(any_mark).select(
+        *keys, (F.col("pre_end") + F.lit(0.5)).alias("_pos"), F.lit(False).alias("_node"),
+        *[F.when(F.col(f"_m{i}"), -1).otherwise(0).alias(f"_d{i}") for i in range(len(names))])
+    ev = node_ev.unionByName(closes, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for i, name in enumerate(names):
+        cnt = F.sum(f"_d{i}").over(w).cast("int")
+        if marks[name][1]:
+            cnt = cnt - F.when(F.col(f"_m{i}"), 1).otherwise(0)
+        ev = ev.withColumn(name, cnt)
+    drop = ["_pos", "_node"] + [f"_m{i}" for i in range(len(names))] + [f"_d{i}" for i in range(len(names))]
+    return ev.where("_node").drop(*drop)
