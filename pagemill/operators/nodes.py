@@ -193,16 +193,16 @@ def serialize(nodes: DataFrame, key_cols=("page_id",), out_col: str = "html") ->
 
 def node_table(pages: DataFrame, key_cols=("page_id",), html_col: str = "html", fragment: bool = False,
                predecode: bool = False, partitions: int | None = None) -> DataFrame:
-    """Parse once, hash-partition on the page key, and materialise.
+    """Parse once, hash-partition on the page key, and persist.
 
     The node table is reused by self-joins (parents, ends, body scope) and
-    by several operators; materialising it keeps the Python parse to one
-    pass per page and ends lineage. The checkpoint keeps the hash
-    partitioning, so later joins and windows on the page key do not shuffle.
+    by several operators; persisting it keeps the Python parse to one pass
+    per page, and the cached plan keeps the hash partitioning, so later
+    joins and windows on the page key do not shuffle again.
     """
-    from pagemill.session import cut
+    from pagemill.session import keep
 
     keys = list(key_cols)
     n = parse_pages(pages, key_cols=keys, html_col=html_col, fragment=fragment, predecode=predecode)
     n = n.repartition(partitions, *keys) if partitions else n.repartition(*keys)
-    return cut(n)
+    return keep(n)
