@@ -62,18 +62,3 @@ def cut(df):
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def keep(df, *keys):
-    """Persist a reused, page-keyed table (memory, spilling to disk).
-
-    Unlike a checkpoint, a cached plan keeps its hash partitioning, so the
-    self-joins and windows on the page key that follow run without another
-    exchange. The lineage behind these tables is short (scan, parse,
-    repartition), so a lost executor's blocks are recomputed from it.
-    With ``keys`` the table is hash-partitioned on them first.
-    """
-    from pyspark import StorageLevel
-
-    if keys:
-        df = df.repartition(*keys)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
