@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.identifiers import is_gibberish
 from pagemill.functions.text import truncate_attr, truncate_text, utf16_len
 from pagemill.operators.nodes import NODE_COLUMNS, ATTR_TYPE, node_table, serialize
-from pagemill.session import cut
+from pagemill.session import bucketed
 from pagemill.operators.structure import inside_marked, subtree_has, tighten_ends
 
 # Fixed values that must equal the reference's.
@@ -175,7 +175,7 @@ def clean_nodes(pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     n = prune_empty(n)
     n = rewrite_urls(n, pages.select("page_id", "url"))
     n = truncate_attributes(n)
-    return cut(tighten_ends(n.select("page_id", *NODE_COLUMNS)))
+    return bucketed(tighten_ends(n.select("page_id", *NODE_COLUMNS)), "page_id", "pagemill_clean")
 
 
 def cleaned_html(pages: DataFrame, cleaned: DataFrame | None = None) -> DataFrame:

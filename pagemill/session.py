@@ -62,3 +62,26 @@ def cut(df):
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+
+def bucketed(df, key: str, prefix: str = "pagemill", buckets: int | None = None):
+    """Write ``df`` bucketed by ``key`` into the shared checkpoint folder and
+    read it back as a table.
+
+    Reads of a bucketed table are hash-partitioned on ``key``, so later
+    joins, windows and aggregations keyed by it need no exchange (a plain
+    checkpoint loses that). Rows are first repartitioned into exactly
+    ``buckets`` partitions on ``key`` with the same hash, so each task writes
+    one bucket file. Only with the in-memory catalog (no metastore); any
+    other catalog falls back to a checkpoint.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "in-memory":
+        return cut(df)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{prefix}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
