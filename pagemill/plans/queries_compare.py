@@ -36,7 +36,7 @@ def k4_record(spark, sf_dir):
     return rec.select("page_id", "url", F.col("preset.error").alias("preset_error"),
                       F.col("stats.literalMarkdown.tokens").alias("literal_tokens"),
                       F.col("stats.readabilityMarkdown.tokens").alias("reader_tokens"),
-                      F.col("firecrawl.error").alias("external_error"))
+                      F.col(f"{K.RECORD_KEYS['external']}.error").alias("external_error"))
 
 
 @register("k5_report")
