@@ -53,3 +53,30 @@ def test_induction_proposes_layout_and_article(spark):
     att = I.induce(cleaned, pages, max_rounds=2)
     fin = I.final_presets(att).collect()
     assert len(fin) == len(p) and all(r["accepted"] for r in fin)
+
+
+def test_proposer_hook_runs_per_host(spark):
+    import pandas as pd
+
+    def proposer(pdf: pd.DataFrame) -> pd.DataFrame:
+        host = pdf["host"].iloc[0]
+        return pd.DataFrame([{"preset_id": 7, "host": host, "priority": 0, "preset_match_detectors": ["nav"],
+                              "main_content_selectors": ["article"], "main_content_filters": ["h1"]}])
+
+    pages = read_pages(spark, SF)
+    out = I.propose_with(pages, proposer).collect()
+    hosts = pages.select(F.lower(F.expr("parse_url(url, 'HOST')")).alias("h")).distinct().count()
+    assert len(out) == hosts and all(r["main_content_selectors"] == ["article"] for r in out)
+
+
+def test_markdown_sink_partitioned(spark):
+    from pagemill.operators.markdown import html_to_markdown
+    from pagemill.sources.pages import write_markdown
+
+    pages = read_pages(spark, SF)
+    md = html_to_markdown(pages.select("page_id", "html")).join(pages.select("page_id", "url"), "page_id")
+    path = tempfile.mkdtemp(prefix="md-sink-", dir="/tmp")
+    write_markdown(md, path)
+    back = spark.read.parquet(path)
+    assert back.count() == pages.count()
+    assert "host_bucket" in back.columns and back.where(F.length("slug") == 0).count() == 0
