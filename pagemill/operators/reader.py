@@ -46,28 +46,28 @@ def element_text(nodes: DataFrame) -> DataFrame:
     n = (n.withColumn("_t", t)
          .withColumn("_ta", F.when(F.col("_in_a"), F.col("_t")).otherwise(0))
          .withColumn("_tp", F.when(F.col("_in_p"), F.col("_t")).otherwise(0)))
-    # element rows open at pre - 0.5 and close at pre_end + 0.5; running sums
-    # read at both give the subtree totals even when pre_end's row was removed
-    rows = n.select("page_id", "pre", "pre_end", "depth", "tag", "attrs", "kind", F.col("pre").cast("double").alias("_pos"),
-                    "_t", "_ta", "_tp", F.lit(0).alias("_side"))
-    el = n.where(F.col("kind") == "element")
-    opens = el.select("page_id", "pre", (F.col("pre") - F.lit(0.5)).alias("_pos"), F.lit(1).alias("_side"))
-    closes = el.select("page_id", "pre", (F.col("pre_end") + F.lit(0.5)).alias("_pos"), F.lit(2).alias("_side"))
-    u = rows.unionByName(opens, allowMissingColumns=True).unionByName(closes, allowMissingColumns=True)
-    w = Window.partitionBy("page_id").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = (u.withColumn("_c", F.sum(F.coalesce("_t", F.lit(0))).over(w))
-          .withColumn("_ca", F.sum(F.coalesce("_ta", F.lit(0))).over(w))
-          .withColumn("_cp", F.sum(F.coalesce("_tp", F.lit(0))).over(w)))
-    o = u.where(F.col("_side") == 1).select("page_id", "pre", F.col("_c").alias("_o"), F.col("_ca").alias("_oa"), F.col("_cp").alias("_op"))
-    c = u.where(F.col("_side") == 2).select("page_id", "pre", F.col("_c").alias("_e"), F.col("_ca").alias("_ea"), F.col("_cp").alias("_ep"))
-    e = u.where((F.col("_side") == 0) & (F.col("kind") == "element")).select("page_id", "pre", "pre_end", "depth", "tag", "attrs")
-    j = e.join(o, ["page_id", "pre"]).join(c, ["page_id", "pre"])
-    return j.select(
-        "page_id", "pre", "pre_end", "depth", "tag", "attrs",
-        (F.col("_e") - F.col("_o")).alias("text_chars"),
-        (F.col("_ea") - F.col("_oa")).alias("link_chars"),
-        (F.col("_ep") - F.col("_op")).alias("p_chars"),
-    )
+    # an element emits open (pre - 0.5) and close (pre_end + 0.5) events from
+    # its own row (explode, no union, so the page partitioning is kept);
+    # running sums read at both give subtree totals even when the row at
+    # pre_end was removed
+    narrow = n.select("page_id", "pre", "pre_end", "kind", "_t", "_ta", "_tp")
+    node_ev = F.struct(F.col("pre").cast("double").alias("_pos"), F.lit(0).alias("_side"),
+                       F.col("_t").alias("t"), F.col("_ta").alias("ta"), F.col("_tp").alias("tp"))
+    open_ev = F.struct((F.col("pre") - F.lit(0.5)).alias("_pos"), F.lit(1).alias("_side"),
+                       F.lit(0).alias("t"), F.lit(0).alias("ta"), F.lit(0).alias("tp"))
+    close_ev = F.struct((F.col("pre_end") + F.lit(0.5)).alias("_pos"), F.lit(2).alias("_side"),
+                        F.lit(0).alias("t"), F.lit(0).alias("ta"), F.lit(0).alias("tp"))
+    is_el = F.col("kind") == "element"
+    u = narrow.withColumn("_e", F.explode(F.when(is_el, F.array(open_ev, node_ev, close_ev)).otherwise(F.array(node_ev))))
+    w = Window.partitionBy("page_id").orderBy(F.col("_e._pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = (u.withColumn("_c", F.sum("_e.t").over(w)).withColumn("_ca", F.sum("_e.ta").over(w))
+          .withColumn("_cp", F.sum("_e.tp").over(w)))
+    tot = u.where(F.col("_e._side") > 0).groupBy("page_id", "pre").agg(
+        (F.max(F.when(F.col("_e._side") == 2, F.col("_c"))) - F.max(F.when(F.col("_e._side") == 1, F.col("_c")))).alias("text_chars"),
+        (F.max(F.when(F.col("_e._side") == 2, F.col("_ca"))) - F.max(F.when(F.col("_e._side") == 1, F.col("_ca")))).alias("link_chars"),
+        (F.max(F.when(F.col("_e._side") == 2, F.col("_cp"))) - F.max(F.when(F.col("_e._side") == 1, F.col("_cp")))).alias("p_chars"))
+    e = n.where(is_el).select("page_id", "pre", "pre_end", "depth", "tag", "attrs")
+    return e.join(tot, ["page_id", "pre"])
 
 
 def trimmed_lengths(nodes: DataFrame, tags) -> DataFrame:

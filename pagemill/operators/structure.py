@@ -76,47 +76,51 @@ def element_children_count(key_cols=("page_id",)) -> Column:
 
 def tighten_ends(nodes: DataFrame, key_cols=("page_id",)) -> DataFrame:
     """Recompute ``pre_end`` as the last *remaining* node of each subtree
-    after nodes were removed: a probe row at ``pre_end + 0.5`` reads the
-    running max of ``pre`` in document order (one union, one window)."""
+    after nodes were removed: a probe event at ``pre_end + 0.5`` (emitted by
+    ``explode`` from the node's own row, so no exchange) reads the running
+    max of ``pre`` in document order."""
     keys = _keys(key_cols)
-    base = nodes.withColumn("_pos", F.col("pre").cast("double")).withColumn("_probe", F.lit(False))
-    probes = nodes.select(*keys, F.col("pre").alias("_of"), (F.col("pre_end") + F.lit(0.5)).alias("_pos"),
-                          F.lit(True).alias("_probe"))
-    u = base.unionByName(probes, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = u.withColumn("_last", F.max(F.when(~F.col("_probe"), F.col("pre"))).over(w))
-    ends = u.where("_probe").select(*keys, F.col("_of").alias("pre"), F.col("_last").alias("_new_end"))
+    narrow = nodes.select(*keys, "pre", "pre_end")
+    e = narrow.withColumn("_e", F.explode(F.array(
+        F.struct(F.col("pre").cast("double").alias("_pos"), F.lit(False).alias("_probe")),
+        F.struct((F.col("pre_end") + F.lit(0.5)).alias("_pos"), F.lit(True).alias("_probe")))))
+    w = Window.partitionBy(*keys).orderBy(F.col("_e._pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumn("_last", F.max(F.when(~F.col("_e._probe"), F.col("pre"))).over(w))
+    ends = e.where(F.col("_e._probe")).select(*keys, "pre", F.col("_last").alias("_new_end"))
     return (nodes.join(ends, [*keys, "pre"], "left")
             .withColumn("pre_end", F.coalesce(F.greatest(F.col("_new_end"), F.col("pre")), F.col("pre")))
             .drop("_new_end"))
 
 
 def open_counts(nodes: DataFrame, marks: dict, key_cols=("page_id",)) -> DataFrame:
-    """Several ``open_count`` columns in one union and one window.
+    """Several ``open_count`` columns in one window pass.
 
     ``marks`` maps an output column to ``(mark Column, strict)``; each output
-    is the number of marked ancestors (self included unless strict).
+    is the number of marked ancestors (self included unless strict). A
+    marked node also emits a closing event at ``pre_end + 0.5`` with
+    ``explode`` on its own row (not a union), so the page partitioning of
+    the input is kept and the window needs no exchange.
     """
     keys = _keys(key_cols)
-    base = nodes
     names = list(marks)
+    base = nodes
     for i, name in enumerate(names):
         base = base.withColumn(f"_m{i}", F.coalesce(marks[name][0], F.lit(False)))
-    node_ev = base.withColumn("_pos", F.col("pre").cast("double")).withColumn("_node", F.lit(True))
-    for i in range(len(names)):
-        node_ev = node_ev.withColumn(f"_d{i}", F.when(F.col(f"_m{i}"), 1).otherwise(0))
     any_mark = F.lit(False)
     for i in range(len(names)):
         any_mark = any_mark | F.col(f"_m{i}")
-    closes = base.where(any_mark).select(
-        *keys, (F.col("pre_end") + F.lit(0.5)).alias("_pos"), F.lit(False).alias("_node"),
-        *[F.when(F.col(f"_m{i}"), -1).otherwise(0).alias(f"_d{i}") for i in range(len(names))])
-    ev = node_ev.unionByName(closes, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def ev(pos, node, sign):
+        return F.struct(pos.alias("_pos"), F.lit(node).alias("_node"),
+                        *[(F.when(F.col(f"_m{i}"), sign).otherwise(0)).alias(f"_d{i}") for i in range(len(names))])
+
+    opened = ev(F.col("pre").cast("double"), True, 1)
+    closed = ev(F.col("pre_end") + F.lit(0.5), False, -1)
+    e = base.withColumn("_e", F.explode(F.when(any_mark, F.array(opened, closed)).otherwise(F.array(opened))))
+    w = Window.partitionBy(*keys).orderBy(F.col("_e._pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for i, name in enumerate(names):
-        cnt = F.sum(f"_d{i}").over(w).cast("int")
+        cnt = F.sum(F.col(f"_e._d{i}")).over(w).cast("int")
         if marks[name][1]:
             cnt = cnt - F.when(F.col(f"_m{i}"), 1).otherwise(0)
-        ev = ev.withColumn(name, cnt)
-    drop = ["_pos", "_node"] + [f"_m{i}" for i in range(len(names))] + [f"_d{i}" for i in range(len(names))]
-    return ev.where("_node").drop(*drop)
+        e = e.withColumn(name, cnt)
+    return e.where(F.col("_e._node")).drop("_e", *[f"_m{i}" for i in range(len(names))])
