@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -82,3 +83,60 @@ def pick(batch: pa.RecordBatch, name: str) -> pa.Array:
 def mod_of_id(column, n: int):
     """crc32 of the id as text, mod n (null id: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n, modulo 2**64, of the base and of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        table = np.empty(n + 1, np.uint64)
+        table[0] = 1
+        np.multiply.accumulate(np.full(n, base, np.uint64), out=table[1:])
+        out.append(table)
+    return out[0], out[1]
+
+
+def prefix_hashes(raw: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Sums of random byte values times powers of the base, up to each place."""
+    values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
+    powers, _ = _powers(max(len(raw), SLICE_BYTES))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values[raw] * powers[:len(raw)], out=sums[1:])
+    return sums
+
+
+def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every byte range [start, end), from ``prefix_hashes``."""
+    _, back = _powers(max(len(sums) - 1, SLICE_BYTES))
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def byte_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hash of every byte range [start, end)."""
+    return range_hashes(prefix_hashes(raw, seed), starts, ends)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Finaliser: every input bit reaches every output bit."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def runs(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of one value."""
+    if not len(kind):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1])
+    return starts, np.concatenate([starts[1:], [len(kind)]])
+
+
+def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of ``counts`` rows (0 for empty groups)."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import exact_dedup
+from pagemill.llm import bpe, exact_dedup, langid, quality, simhash
 from pagemill.llm.common import read_table
 
 QUERIES = {}
@@ -15,4 +15,18 @@ def register(name, fn, sql=None):
         ORACLE[name] = sql.strip()
 
 
-register("op9_exact_dedup", lambda spark, d: exact_dedup.digest(read_table(spark, d, "documents")), exact_dedup.ORACLE_SQL)
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def documents(digest):
+    return lambda spark, d: digest(read_table(spark, d, "documents"))
+
+
+register("op2_bpe", documents(lambda docs: bpe.digest(docs, tokenizer())))
+register("op3_quality", lambda spark, d: quality.digest(read_table(spark, d, "documents"), read_table(spark, d, "labels")))
+register("op6_langid", documents(langid.digest))
+register("op9_exact_dedup", documents(exact_dedup.digest), exact_dedup.ORACLE_SQL)
+register("op10_simhash", documents(simhash.digest))
