@@ -1,7 +1,9 @@
 """Quality classifier: hashed word n-grams, logistic regression by FTRL.
 
 A text's words and runs of punctuation, and pairs of neighbours, are hashed
-into 2**BITS buckets; each counts with its share of the text. Weights are
+into 2**BITS buckets; each counts with its share of the text. A word equal to
+the one before it, or to the last but one, is also hashed as just "same again",
+so that repetition counts alike whatever is repeated. Weights are
 learned with follow-the-regularised-leader (per-coordinate steps, L1 and L2)
 on a bounded sample of labelled rows: the sample is dealt to ``SHARDS`` groups
 that learn side by side, and their weights are averaged. The model has
@@ -44,6 +46,9 @@ THRESHOLD = 0.3
 #: Kinds of bytes: 0 white space, 1 of words (ASCII letters and digits, all beyond ASCII), 2 the rest.
 _KIND = np.array([0 if b in b" \t\n\x0b\x0c\r" else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.int8)
 
+#: Buckets of "same as the word before" and "same as the last but one".
+_SAME = (mix(np.arange(1, 3, dtype=np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+
 
 def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words and pairs of each text in turn, and how many each text has."""
@@ -56,12 +61,14 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     one = byte_hash(raw, starts, ends)
     two = mix(one[:-1] * np.uint64(3) + one[1:])
     pair = of[:-1] == of[1:]
-    bucket = np.full((len(one), 2), 1 << BITS, np.int64)
+    bucket = np.full((len(one), 3), 1 << BITS, np.int64)
     bucket[:, 0] = (one >> np.uint64(64 - BITS)).astype(np.int64)
     bucket[:-1, 1][pair] = (two >> np.uint64(64 - BITS)).astype(np.int64)[pair]
+    for back, same in ((2, _SAME[1]), (1, _SAME[0])):
+        bucket[back:, 2][(one[back:] == one[:-back]) & (of[back:] == of[:-back])] = same
     flat = bucket.ravel()
     used = flat < 1 << BITS
-    return flat[used], np.bincount(np.repeat(of, 2)[used], minlength=len(off) - 1).astype(np.int64)
+    return flat[used], np.bincount(np.repeat(of, 3)[used], minlength=len(off) - 1).astype(np.int64)
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
