@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import bpe, exact_dedup, langid, quality, simhash
+from pagemill.llm import bpe, exact_dedup, langid, packing, quality, shards, simhash, topk
 from pagemill.llm.common import read_table
 
 QUERIES = {}
@@ -27,6 +27,9 @@ def documents(digest):
 
 register("op2_bpe", documents(lambda docs: bpe.digest(docs, tokenizer())))
 register("op3_quality", lambda spark, d: quality.digest(read_table(spark, d, "documents"), read_table(spark, d, "labels")))
+register("op4_topk", lambda spark, d: topk.digest(read_table(spark, d, "embeddings")), topk.ORACLE_SQL)
+register("op5_packing", documents(lambda docs: packing.digest(docs, tokenizer())))
 register("op6_langid", documents(langid.digest))
+register("op7_shards", documents(lambda docs: shards.digest(docs, tokenizer())))
 register("op9_exact_dedup", documents(exact_dedup.digest), exact_dedup.ORACLE_SQL)
 register("op10_simhash", documents(simhash.digest))
