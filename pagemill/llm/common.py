@@ -140,3 +140,31 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """An integer array in little room: differences, byte planes, zstd."""
+    import zstandard
+
+    values = np.ascontiguousarray(values)
+    steps = np.diff(values, prepend=values.dtype.type(0))  # modulo its width
+    planes = steps.view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(values.dtype.str.encode().ljust(4) + np.ascontiguousarray(planes).tobytes())
+
+
+def unsqueeze(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    kind = np.dtype(raw[:4].decode().strip())
+    planes = np.frombuffer(raw, np.uint8, offset=4).reshape(kind.itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(kind), dtype=kind)
+
+
+def local_path(path: str) -> str:
+    """The path of a shared folder as the workers' file system sees it."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"{path}: spark.checkpoint.dir must name a mounted folder here, as workers map files from it")
+    return path

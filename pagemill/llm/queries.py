@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import bpe, exact_dedup, langid, packing, quality, shards, simhash, topk
+from pagemill.llm import bpe, exact_dedup, langid, lm, packing, quality, shards, simhash, topk
 from pagemill.llm.common import read_table
 
 QUERIES = {}
@@ -31,5 +31,6 @@ register("op4_topk", lambda spark, d: topk.digest(read_table(spark, d, "embeddin
 register("op5_packing", documents(lambda docs: packing.digest(docs, tokenizer())))
 register("op6_langid", documents(langid.digest))
 register("op7_shards", documents(lambda docs: shards.digest(docs, tokenizer())))
+register("op8_lm", documents(lm.digest))
 register("op9_exact_dedup", documents(exact_dedup.digest), exact_dedup.ORACLE_SQL)
 register("op10_simhash", documents(simhash.digest))
