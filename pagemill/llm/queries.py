@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import bpe, exact_dedup, langid, lm, packing, quality, shards, simhash, topk
+from pagemill.llm import bpe, exact_dedup, langid, lm, packing, quality, shards, simhash, suffix, topk
 from pagemill.llm.common import read_table
 
 QUERIES = {}
@@ -25,6 +25,7 @@ def documents(digest):
     return lambda spark, d: digest(read_table(spark, d, "documents"))
 
 
+register("op1_suffix_dedup", documents(suffix.digest))
 register("op2_bpe", documents(lambda docs: bpe.digest(docs, tokenizer())))
 register("op3_quality", lambda spark, d: quality.digest(read_table(spark, d, "documents"), read_table(spark, d, "labels")))
 register("op4_topk", lambda spark, d: topk.digest(read_table(spark, d, "embeddings")), topk.ORACLE_SQL)
