@@ -100,7 +100,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rids, offsets in their texts, bytes, row offsets); a very long text comes
     in pieces that overlap by ``length`` - 1 bytes, so that each window is in one."""
-    for batch in slices(batches, "_sx_text"):
+    for batch in slices(batches, "_sx_text", SLICE_BYTES):
         rid = pick(batch, "_sx_rid").to_numpy()
         raw, off = utf8(pick(batch, "_sx_text"))
         if len(raw) <= 2 * SLICE_BYTES:
@@ -344,7 +344,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without their repeated passages. A character
     that a removed run has cut through is left out whole; ``n_chars`` is counted anew."""
-    out = remove_repeats(docs)
+    out, columns = remove_repeats(docs), docs.columns
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,6 +353,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             value = {"text": pa.array([None if n else k for k, n in zip(kept, was)], pa.string())}
             if "n_chars" in batch.schema.names:
                 value["n_chars"] = pa.array([None if n else len(k) for k, n in zip(kept, was)], pa.int64())
-            yield pa.RecordBatch.from_arrays([value.get(c, pick(batch, c)) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([value[c] if c in value else pick(batch, c) for c in columns], names=columns)
 
     return out.mapInArrow(text, docs.schema)
