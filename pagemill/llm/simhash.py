@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import materialise, pick, slices, with_rid
+from pagemill.llm.common import materialise, pick, slices, squeeze, unsqueeze, with_rid
 from pagemill.llm.components import components
 
 #: Words in a shingle.
@@ -179,12 +179,12 @@ def trie_links(fps: DataFrame, max_bits: int = MAX_BITS, node_fps: int = NODE_FP
                     known[k] = near(k)
                 mine, others = fp[node == k], known[k]
                 task = np.minimum(others, k) * n_nodes + np.maximum(others, k)
-                for t in task.tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), t)), pa.array(mine)], names=["task", "fp"])
+                packed = squeeze(np.sort(mine.view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(task), pa.array([packed] * len(task), pa.binary())], names=["task", "fps"])
 
     def join(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         u, v = divmod(key[0].as_py(), n_nodes)
-        values = np.sort(group.column("fp").to_numpy().view(np.uint64))
+        values = np.sort(np.concatenate([unsqueeze(x) for x in group.column("fps").to_pylist()]))
         depth = int(min(depths[u], depths[v]))
         trie = Trie(values, depth)
         top = (values[trie.first] >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(1, np.int64)
@@ -195,7 +195,7 @@ def trie_links(fps: DataFrame, max_bits: int = MAX_BITS, node_fps: int = NODE_FP
         linked = np.flatnonzero(root != np.arange(len(values)))
         return pa.table({"a": values[linked].view(np.int64), "b": values[root[linked]].view(np.int64)})
 
-    return fps.mapInArrow(deal, "task long, fp long").groupBy("task").applyInArrow(join, "a long, b long")
+    return fps.mapInArrow(deal, "task long, fps binary").groupBy("task").applyInArrow(join, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, node_fps: int = NODE_FPS) -> DataFrame:
