@@ -151,26 +151,26 @@ SELECT page_id, preset_id,
          CAST(coalesce(list_sum(list_transform(regexp_extract_all(regexp_replace({_ART}, '(?s)<h1>.*?</h1>', '', 'g'), '(?:^|>)([^<]+)', 1),
               lambda x: length({_DEC.format(x='x')}))), 0) AS BIGINT)
        END AS text_chars
-FROM pages, (VALUES (0), (1), (2)) t(preset_id)
+FROM pages, {_TPL_VALUES}
 """)
 def p9_apply_text(spark, sf_dir):
     run, nodes, _ = _run(spark, sf_dir)
     res, doc = P.apply_presets(run, nodes)
     chars = doc.where(F.col("kind") == "text").groupBy("page_id", "preset_id").agg(
         F.sum(tx.utf16_len("text")).cast("long").alias("text_chars"))
-    out = res.where(F.col("preset_id") < 3).join(chars, ["page_id", "preset_id"], "left")
+    out = res.join(chars, ["page_id", "preset_id"], "left")
     return out.select("page_id", "preset_id", "status", F.array_join("failed_selectors", ", ").alias("failed"),
                       F.when(F.col("status") == "ok", F.coalesce("text_chars", F.lit(0)).cast("long")).alias("text_chars"))
 
 
 # ---- P10 / P11 ------------------------------------------------------------------
 
-CRYPTIC_TEMPLATE = (9, 9, ["nav", ".TccjmKV6RraCaCw5L9gd"], ["#article-123", ".btn-primary"], [])
+CRYPTIC_TEMPLATE = (9, 9, ["nav", ".xQ7vLp2RwZt9KdMn4Bsy"], ["#story-48213", ".lead-text"], [])
 
 
 @register("p10_cryptic", r"""
 SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)', 1)) AS host, CAST(9 AS BIGINT) AS preset_id,
-       'cryptic_selectors_detected' AS type, '.TccjmKV6RraCaCw5L9gd, #article-123' AS selectors
+       'cryptic_selectors_detected' AS type, '.xQ7vLp2RwZt9KdMn4Bsy, #story-48213' AS selectors
 FROM pages
 """)
 def p10_cryptic(spark, sf_dir):
@@ -189,8 +189,8 @@ def p10_cryptic(spark, sf_dir):
 
 @register("p11_choose", "SELECT page_id, CAST(0 AS BIGINT) AS preset_id FROM pages")
 def p11_choose(spark, sf_dir):
-    run, _, _ = _run(spark, sf_dir)
-    chosen, _ = P.choose_preset(run)
+    run, _, pages = _run(spark, sf_dir)
+    chosen, _ = P.choose_preset(run, pages)
     return chosen
 
 

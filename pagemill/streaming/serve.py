@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import presets as P
 from pagemill.operators.markdown import render
 from pagemill.operators.nodes import node_table
+from pagemill.session import cut
 from pagemill.sources.pages import PAGES_SCHEMA
 
 
@@ -23,23 +24,24 @@ def extract_batch(pages: DataFrame, presets: DataFrame) -> tuple[DataFrame, Data
     """Batch form of the serving step: ``(extracts, queue)``."""
     nodes = node_table(pages)
     run = P.run_presets(nodes, pages, presets)
-    chosen, queue = P.choose_preset(run)
+    chosen, queue = P.choose_preset(run, pages)
     res, doc = P.apply_presets(run, nodes)
     md = render(doc, keys=("page_id", "preset_id"))
     ext = (chosen.join(res, ["page_id", "preset_id"]).join(md, ["page_id", "preset_id"], "left")
            .join(pages.select("page_id", "url"), "page_id")
            .select("page_id", "url", "preset_id", "status", F.coalesce("markdown", F.lit("")).alias("markdown")))
-    unmatched = pages.select("page_id", "url").join(chosen, "page_id", "left_anti")
-    return ext, unmatched
+    return ext, pages.select("page_id", "url").join(queue, "page_id", "left_semi")
 
 
 def serve(spark: SparkSession, source: str, presets: DataFrame, out_dir: str, checkpoint: str,
-          glob: str = "*.parquet", available_now: bool = True):
-    """Start the stream; returns the ``StreamingQuery``."""
+          glob: str = "*.parquet", available_now: bool = True, files_per_batch: int = 64):
+    """Start the stream; returns the ``StreamingQuery``. ``files_per_batch``
+    only paces the micro-batches; every file is served."""
     stream = (spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", 64).parquet(source))
+              .option("maxFilesPerTrigger", files_per_batch).parquet(source))
 
     def handle(batch: DataFrame, batch_id: int):
+        batch = cut(batch)  # read several times below
         ext, queue = extract_batch(batch, presets)
         (ext.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/extracts"))
