@@ -117,23 +117,49 @@ def prune_empty(nodes: DataFrame) -> DataFrame:
     return mark_survivors(nodes, "_keep").where("_keep").drop("_keep")
 
 
+#: Parts of an absolute or protocol-relative URL: 1 scheme, 2 host and port, 3 path, 4 query, 5 fragment.
+_URL_RX = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+#: Characters that a URL holds in percent form, by part; everything beyond ASCII too.
+_ILLEGAL = {"path": r"""[\x00-\x20"#<>?`{}\x7f]|[^\x00-\x7f]""", "query": r"""[\x00-\x20"#<>'\x7f]|[^\x00-\x7f]""", "hash": r"""[\x00-\x20"<>`\x7f]|[^\x00-\x7f]"""}
+
+
+def _percent(value: Column, part: str) -> Column:
+    """The illegal characters of a URL part as percent-encoded UTF-8."""
+    rx = _ILLEGAL[part]
+    each = F.transform(F.split(value, ""), lambda c: F.when(c.rlike(rx), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(value.rlike(rx), F.array_join(each, "")).otherwise(value)
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with ``.`` and ``..`` segments resolved."""
+    dot, up = r"^(?:\.|(?i)%2e)$", r"^(?:\.|(?i)%2e){2}$"
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda out, x: F.when(x.rlike(up), F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x.rlike(dot), out).otherwise(F.concat(out, F.array(x))))
+    last = F.element_at(parts, -1)
+    end = F.when(last.rlike(up) | last.rlike(dot), F.lit("/")).otherwise(F.lit(""))
+    joined = F.concat(F.when(F.size(kept) > 0, F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(F.lit("")), end)
+    return F.when(path.rlike(r"(?:^|/)(?:\.|(?i)%2e){1,2}(?:/|$)"), joined).otherwise(path)
+
+
 def same_host_relative(value: Column, base_url: Column) -> Column:
     """C8 for one value: absolute (http(s) or protocol-relative) URLs whose
     hostname equals the page's become ``path + ?query + #hash`` (``/`` when
-    all are empty); anything else, or anything unparsable, is unchanged."""
-    base_scheme = F.lower(F.try_parse_url(base_url, F.lit("PROTOCOL")))
-    full = F.when(value.startswith("//"), F.concat(base_scheme, F.lit(":"), value)).otherwise(value)
-    host = F.lower(F.try_parse_url(full, F.lit("HOST")))
+    all are empty), dot segments resolved and illegal characters percent
+    encoded; anything else, or anything unparsable, is unchanged."""
+    tidy = F.regexp_replace(F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    part = lambda k: F.regexp_extract(tidy, _URL_RX, k)
+    host = F.lower(F.regexp_replace(part(2), r":\d*$", ""))
     base_host = F.lower(F.try_parse_url(base_url, F.lit("HOST")))
-    path = F.coalesce(F.try_parse_url(full, F.lit("PATH")), F.lit(""))
-    query = F.try_parse_url(full, F.lit("QUERY"))
-    ref = F.try_parse_url(full, F.lit("REF"))
+    path = _percent(_without_dots(F.replace(part(3), F.lit("\\"), F.lit("/"))), "path")
+    query, ref = _percent(part(4), "query"), _percent(part(5), "hash")
     rel = F.concat(
         F.when(path == "", F.lit("/")).otherwise(path),
-        F.when(F.length(F.coalesce(query, F.lit(""))) > 0, F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-        F.when(F.length(F.coalesce(ref, F.lit(""))) > 0, F.concat(F.lit("#"), ref)).otherwise(F.lit("")),
+        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+        F.when(ref != "", F.concat(F.lit("#"), ref)).otherwise(F.lit("")),
     )
-    rewrite = value.rlike(ABSOLUTE_URL_RX) & host.isNotNull() & base_host.isNotNull() & (host == base_host)
+    rewrite = tidy.rlike(ABSOLUTE_URL_RX) & (host != "") & base_host.isNotNull() & (host == base_host)
     return F.when(F.coalesce(rewrite, F.lit(False)), rel).otherwise(value)
 
 

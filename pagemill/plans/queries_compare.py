@@ -129,7 +129,7 @@ def i2_proposals(spark, sf_dir):
 @register("i3_i6_induction")
 def i3_i6_induction(spark, sf_dir):
     pages, cleaned = _mined(spark, sf_dir)
-    att = I.induce(cleaned, pages, max_rounds=3)
+    att = I.induce(cleaned, pages)
     return I.final_presets(att).select("host", "round", "accepted", "pages", "ok_pages", "problems",
                                        tx.char_count("markdown").alias("sample_chars"))
 

@@ -5,39 +5,62 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
+#: Set where the submitted configuration does not say otherwise.
+DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+}
+
+
 def get_spark(master: str | None = None, app: str = "pagemill", shuffle_partitions: int | None = None) -> SparkSession:
-    """Session for local runs and tests; on a cluster the submitted conf wins.
+    """The session; what was submitted wins over the defaults here.
 
-    AQE is on so shuffle partition counts coalesce at run time and skewed
-    joins are split. The Arrow batch size is kept small because one page
-    expands to hundreds of node rows in the parse step.
+    Only where no master is given or submitted, a local session is built, with
+    few shuffle partitions and a driver that holds all executors' memory. AQE
+    coalesces partitions and splits skewed joins at run time. The Arrow batch
+    size is small because one page expands to hundreds of node rows.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-        .config("spark.driver.memory", "16g")
-        .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
-    )
-    spark = builder.getOrCreate()
+    submitted = dict(SparkConf().getAll())
+    conf = {k: v for k, v in DEFAULTS.items() if k not in submitted}
+    builder = SparkSession.builder.appName(app)
+    if master or "spark.master" not in submitted:
+        builder = builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+        conf |= {"spark.driver.memory": submitted.get("spark.driver.memory", "16g"), "spark.sql.shuffle.partitions": str(shuffle_partitions or 8)}
+    elif shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    spark = builder.config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     checkpoint_dir(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, so that they can import it wherever
+    the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagemill_shipped", False):
+        return
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="pagemill-ship-"), "pagemill"), "zip", root, "pagemill")
+    sc.addPyFile(path)
+    sc._pagemill_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -49,6 +72,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not path:
         path = tempfile.mkdtemp(prefix="pagemill-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
