@@ -71,17 +71,37 @@ def element_text(nodes: DataFrame) -> DataFrame:
 
 
 def trimmed_lengths(nodes: DataFrame, tags) -> DataFrame:
-    """Trimmed text length of the subtree of each element with a tag in ``tags``
-    (contiguous pre range fetched by equi-join, then ordered concat)."""
-    el = nodes.where((F.col("kind") == "element") & F.col("tag").isin(tags)).select(
-        "page_id", F.col("pre").alias("e_pre"), "pre_end", "tag")
-    span = el.withColumn("pre", F.explode(F.sequence("e_pre", "pre_end")))
-    texts = nodes.where(F.col("kind") == "text").select("page_id", "pre", "text")
-    j = span.join(texts, ["page_id", "pre"])
-    g = j.groupBy("page_id", "e_pre", "tag").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "").alias("t"))
-    return g.select("page_id", F.col("e_pre").alias("pre"), "tag",
-                    utf16_len(F.regexp_replace(F.col("t"), r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")).alias("len"))
+    """Trimmed text length of the subtree of each element with a tag in ``tags``.
+
+    With all text of the page laid end to end, a subtree's trimmed text runs
+    from the first non-blank character at or after its start to the last one
+    at or before its end: two running windows over one event table, whatever
+    the nesting.
+    """
+    blank = r"[\s\u00a0\ufeff]"
+    is_text = F.col("kind") == "text"
+    wanted = (F.col("kind") == "element") & F.col("tag").isin(tags)
+    n = nodes.where(is_text | wanted).select(
+        "page_id", "pre", "pre_end", "tag", is_text.alias("_is_text"), F.when(is_text, utf16_len("text")).otherwise(F.lit(0)).alias("_t"),
+        utf16_len(F.regexp_replace("text", f"^{blank}+", "")).alias("_no_lead"), utf16_len(F.regexp_replace("text", f"{blank}+$", "")).alias("_no_trail"))
+    order = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("_at", F.coalesce(F.sum("_t").over(order), F.lit(0)))
+    solid = F.col("_is_text") & (F.col("_no_lead") > 0)
+    n = n.withColumn("_first", F.when(solid, F.col("_at") + F.col("_t") - F.col("_no_lead"))).withColumn("_last", F.when(solid, F.col("_at") + F.col("_no_trail")))
+    none = F.lit(None).cast("long")
+
+    def event(pos, side, first, last):
+        return F.struct(pos.cast("double").alias("pos"), F.lit(side).alias("side"), first.cast("long").alias("first"), last.cast("long").alias("last"))
+
+    own = event(F.col("pre"), 0, F.col("_first"), F.col("_last"))
+    edges = F.array(event(F.col("pre") - F.lit(0.5), 1, none, none), event(F.col("pre_end") + F.lit(0.5), 2, none, none))
+    e = n.withColumn("e", F.explode(F.when(F.col("_is_text"), F.array(own)).otherwise(edges)))
+    forth = Window.partitionBy("page_id").orderBy("e.pos").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("page_id").orderBy(F.col("e.pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("_l", F.max("e.last").over(forth)).withColumn("_f", F.min("e.first").over(back))
+    g = e.where("e.side > 0").groupBy("page_id", "pre", "tag").agg(
+        F.max(F.when(F.col("e.side") == 2, F.col("_l"))).alias("_l"), F.max(F.when(F.col("e.side") == 1, F.col("_f"))).alias("_f"))
+    return g.select("page_id", "pre", "tag", F.greatest(F.coalesce(F.col("_l") - F.col("_f"), F.lit(0)), F.lit(0)).cast("int").alias("len"))
 
 
 def readable_score(nodes: DataFrame) -> DataFrame:
@@ -104,7 +124,8 @@ def choose_container(el: DataFrame) -> DataFrame:
 
 
 def metadata(nodes: DataFrame) -> DataFrame:
-    """Title, lang, dir, byline, siteName, publishedTime, excerpt from head elements."""
+    """Title, lang, dir, byline, siteName, publishedTime, excerpt from head
+    elements; of several, the first in the document."""
     el = nodes.where(F.col("kind") == "element")
     meta_name = F.lower(F.coalesce(attr("name"), attr("property")))
     content = attr("content")
@@ -112,17 +133,32 @@ def metadata(nodes: DataFrame) -> DataFrame:
     title = (nodes.where(F.col("kind") == "text").join(first_title.withColumnRenamed("tpre", "parent"), ["page_id", "parent"])
              .groupBy("page_id").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))),
                                                                        lambda x: x["text"]), "")).alias("title")))
+
+    def first(where, value):
+        return F.min_by(value, F.when(where & value.isNotNull(), F.col("pre")))
+
+    html, meta = F.col("tag") == "html", F.col("tag") == "meta"
     m = el.groupBy("page_id").agg(
-        F.first(F.when(F.col("tag") == "html", attr("lang")), ignorenulls=True).alias("lang"),
-        F.first(F.when(F.col("tag") == "html", attr("dir")), ignorenulls=True).alias("dir"),
-        F.first(F.when((F.col("tag") == "meta") & meta_name.isin("author", "article:author"), content), ignorenulls=True).alias("byline"),
-        F.first(F.when((F.col("tag") == "meta") & (meta_name == "og:site_name"), content), ignorenulls=True).alias("siteName"),
-        F.first(F.when((F.col("tag") == "meta") & meta_name.isin("article:published_time", "date"), content), ignorenulls=True).alias("publishedTime"),
-        F.first(F.when((F.col("tag") == "meta") & meta_name.isin("description", "og:description"), content), ignorenulls=True).alias("excerpt"),
+        first(html, attr("lang")).alias("lang"),
+        first(html, attr("dir")).alias("dir"),
+        first(meta & meta_name.isin("author", "article:author"), content).alias("byline"),
+        first(meta & (meta_name == "og:site_name"), content).alias("siteName"),
+        first(meta & meta_name.isin("article:published_time", "date"), content).alias("publishedTime"),
+        first(meta & meta_name.isin("description", "og:description"), content).alias("excerpt"),
     )
     return m.join(title, "page_id", "left")
 
 
+def first_paragraph(nodes: DataFrame, el: DataFrame, best: DataFrame) -> DataFrame:
+    """(page_id, first_p): trimmed text of the first non-blank ``p`` of the container."""
+    held = el.where((F.col("tag") == "p") & (F.col("text_chars") > 0)).join(best.select("page_id", F.col("pre").alias("r_pre"), F.col("pre_end").alias("r_end")), "page_id")
+    p = (held.where((F.col("pre") > F.col("r_pre")) & (F.col("pre") <= F.col("r_end")))
+         .groupBy("page_id").agg(F.min(F.struct("pre", "pre_end")).alias("p")))
+    texts = nodes.where(F.col("kind") == "text").select("page_id", "pre", "text").join(p, "page_id").where((F.col("pre") > F.col("p.pre")) & (F.col("pre") <= F.col("p.pre_end")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "")
+    return texts.groupBy("page_id").agg(F.trim(F.regexp_replace(whole, r"[\s\u00a0]+", " ")).alias("first_p"))
+
+
 def reader_mode(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``(page_id, status, markdown, meta STRUCT<title, length, excerpt,
     byline, siteName, lang, publishedTime, dir>)``."""
@@ -131,15 +167,16 @@ def reader_mode(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     el = element_text(nodes)
     best = choose_container(el)
     readable = readable_score(nodes)
-    span = best.select("page_id", F.col("pre").alias("r_pre"), F.col("pre_end").alias("r_end"), F.col("depth").alias("r_depth")) \
-        if "depth" in best.columns else best.select("page_id", F.col("pre").alias("r_pre"), F.col("pre_end").alias("r_end"))
-    sub = span.withColumn("pre", F.explode(F.sequence("r_pre", "r_end"))).join(
-        nodes.select("page_id", *NODE_COLUMNS), ["page_id", "pre"]).select("page_id", *NODE_COLUMNS)
+    span = best.select("page_id", F.col("pre").alias("r_pre"), F.col("pre_end").alias("r_end"))
+    sub = nodes.join(span, "page_id").where(F.col("pre").between(F.col("r_pre"), F.col("r_end"))).select("page_id", *NODE_COLUMNS)
     md = render(sub, ("page_id",))
     meta = metadata(nodes)
+    failed = nodes.where(F.col("kind") == "error").select("page_id", F.lit(True).alias("unparsed")).distinct()
     out = (blank.join(readable, "page_id", "left").join(best.select("page_id", F.col("text_chars").alias("_content_len")), "page_id", "left")
-           .join(md, "page_id", "left").join(meta, "page_id", "left"))
+           .join(md, "page_id", "left").join(meta, "page_id", "left").join(failed, "page_id", "left")
+           .join(first_paragraph(nodes, el, best), "page_id", "left"))
     status = (F.when(F.col("blank"), F.lit("not_applicable"))
+              .when(F.col("unparsed"), F.lit("failed_to_apply"))
               .when(~F.coalesce(F.col("readable"), F.lit(False)), F.lit("not_applicable"))
               .when(F.col("markdown").isNull(), F.lit("failed_to_apply"))
               .otherwise(F.lit("ok")))
@@ -147,6 +184,7 @@ def reader_mode(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         "page_id", status.alias("status"),
         F.when(status == "ok", F.col("markdown")).alias("markdown"),
         F.when(status == "ok", F.struct(
-            "title", F.coalesce(F.col("_content_len"), F.lit(0)).cast("long").alias("length"), "excerpt", "byline",
+            "title", F.coalesce(F.col("_content_len"), F.lit(0)).cast("long").alias("length"),
+            F.coalesce("excerpt", F.nullif("first_p", F.lit(""))).alias("excerpt"), "byline",
             "siteName", "lang", "publishedTime", "dir")).alias("meta"),
     )

@@ -11,32 +11,67 @@ from pagemill.operators.clean import clean_nodes
 from pagemill.operators.nodes import node_table
 from pagemill.plans.queries import register
 from pagemill.plans.queries_presets import site_presets
+from pagemill.plans.queries_reader import GATE_SQL
 from pagemill.session import checkpoint_dir, cut
-from pagemill.sources.pages import read_page_json, read_pages, validate_pages, write_snapshots
+from pagemill.sources.pages import parse_presets, read_page_json, read_pages, validate_pages, write_markdown, write_snapshots
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)', 1))"
 
 
+def _external(spark, sf_dir, pages):
+    """What another service delivered: the document of a page's number as its
+    markdown; for every fifth page nothing, for every third no html."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("page_id"), F.col("text").alias("markdown"))
+    made = pages.where("page_id % 5 != 0").join(docs, "page_id")
+    return made.select("url", "markdown", F.when(F.col("page_id") % 3 != 0, F.col("html")).alias("html"))
+
+
 def _results(spark, sf_dir):
+    """Suggest (I2-I6), apply to the raw html, compare with the other methods."""
     pages = read_pages(spark, sf_dir)
-    nodes = node_table(pages)
-    return pages, cut(K.method_results(pages, nodes, site_presets(pages)))
+    made = I.final_presets(I.induce(clean_nodes(pages), pages)).where("accepted")
+    presets = cut(made.select("preset_id", "host", "priority", "preset_match_detectors", "main_content_selectors", "main_content_filters"))
+    return pages, cut(K.method_results(pages, node_table(pages), presets, _external(spark, sf_dir, pages)))
+
 
+_EXTERNAL_SQL = """
+ext AS (
+  SELECT p.page_id, p.url, d.doc_id IS NOT NULL AS has_markdown, d.text AS markdown, d.doc_id IS NOT NULL AND p.page_id % 3 <> 0 AS has_html
+  FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id AND p.page_id % 5 <> 0
+)"""
+_EXTERNAL_ERROR = """nullif(concat_ws('; ', CASE WHEN NOT has_html THEN 'html missing' END, CASE WHEN NOT has_markdown THEN 'markdown missing' END), '')"""
 
-@register("k3_method_results")
+
+@register("k3_method_results", f"""
+WITH {_EXTERNAL_SQL}, gate AS ({GATE_SQL})
+SELECT page_id, 'external' AS method, {_EXTERNAL_ERROR} AS error, has_markdown AND length(markdown) > 0 AS made FROM ext
+UNION ALL SELECT page_id, 'preset', NULL, true FROM pages
+UNION ALL SELECT page_id, 'literal', NULL, true FROM pages
+UNION ALL SELECT page_id, 'reader', CASE WHEN NOT readable THEN 'Readability: not applicable' END, readable FROM gate
+""")
 def k3_method_results(spark, sf_dir):
     _, r = _results(spark, sf_dir)
-    return r.select("page_id", "method", "error", "chars", "tokens")
+    return r.select("page_id", "method", "error", F.coalesce(F.col("chars") > 0, F.lit(False)).alias("made"))
 
 
-@register("k4_record")
+@register("k4_record", f"""
+WITH {_EXTERNAL_SQL}
+SELECT page_id, url, CAST(NULL AS VARCHAR) AS preset_error, {_EXTERNAL_ERROR} AS external_error,
+       CASE WHEN length(markdown) > 0 THEN CAST(ceil(length(markdown) / 4.0) AS BIGINT) END AS external_tokens, has_html AS external_html
+FROM ext
+""")
 def k4_record(spark, sf_dir):
-    _, r = _results(spark, sf_dir)
-    rec = K.comparison_record(r)
-    return rec.select("page_id", "url", F.col("preset.error").alias("preset_error"),
-                      F.col("stats.literalMarkdown.tokens").alias("literal_tokens"),
-                      F.col("stats.readabilityMarkdown.tokens").alias("reader_tokens"),
-                      F.col(f"{K.RECORD_KEYS['external']}.error").alias("external_error"))
+    import uuid
+
+    pages, r = _results(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    K.write_records(K.comparison_record(r), path)
+    schema = ("page_id long, url string, preset STRUCT<markdown: string, error: string>, firecrawl STRUCT<markdown: string, error: string, html: string>, "
+              "stats STRUCT<firecrawlMarkdown: STRUCT<chars: long, tokens: long>>")
+    rec = spark.read.schema(schema).json(path)
+    return rec.select("page_id", "url", F.col("preset.error").alias("preset_error"), F.col(f"{K.RECORD_KEYS['external']}.error").alias("external_error"),
+                      F.col("stats.firecrawlMarkdown.tokens").alias("external_tokens"),
+                      F.col(f"{K.RECORD_KEYS['external']}.html").isNotNull().alias("external_html"))
 
 
 @register("k5_report")
@@ -126,22 +161,74 @@ def i2_proposals(spark, sf_dir):
                           F.array_join("main_content_filters", ", ").alias("filters"))
 
 
-@register("i3_i6_induction")
+@register("i3_i6_induction", f"""
+SELECT {_HOST} AS host, 1 AS round, true AS accepted, count(*) AS pages, count(*) AS ok_pages, CAST(0 AS BIGINT) AS problems, count(*) AS md_pages
+FROM pages GROUP BY 1
+""")
 def i3_i6_induction(spark, sf_dir):
     pages, cleaned = _mined(spark, sf_dir)
     att = I.induce(cleaned, pages)
-    return I.final_presets(att).select("host", "round", "accepted", "pages", "ok_pages", "problems",
-                                       tx.char_count("markdown").alias("sample_chars"))
+    return I.final_presets(att).select("host", "round", "accepted", "pages", "ok_pages", "problems", "md_pages")
 
 
-@register("t1_stream_serve")
+@register("t1_stream_serve", """
+SELECT page_id, CASE WHEN page_id % 7 = 3 THEN 'queue' ELSE 'extract' END AS kind, CASE WHEN page_id % 7 <> 3 THEN 'ok' END AS status FROM pages
+""")
 def t1_stream_serve(spark, sf_dir):
+    """Pages arrive as a stream; every seventh from a host that has no preset."""
     import uuid
 
     from pagemill.streaming.serve import serve
 
     base = f"{checkpoint_dir(spark).rstrip('/')}/serve-{uuid.uuid4().hex}"
     pages = read_pages(spark, sf_dir)
-    q = serve(spark, sf_dir, site_presets(pages), f"{base}/out", f"{base}/ckpt", glob="pages.parquet")
+    moved = pages.withColumn("url", F.when(F.col("page_id") % 7 == 3, F.lit("https://new.example.net/p")).otherwise(F.col("url")))
+    moved.write.parquet(f"{base}/in")
+    q = serve(spark, f"{base}/in", site_presets(pages), f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out/extracts").select("page_id", "preset_id", "status", tx.char_count("markdown").alias("chars"))
+    done = spark.read.parquet(f"{base}/out/extracts").select("page_id", F.lit("extract").alias("kind"), "status")
+    return done.unionByName(spark.read.parquet(f"{base}/out/queue").select("page_id", F.lit("queue").alias("kind"), F.lit(None).cast("string").alias("status")))
+
+
+# ---- S2, S4, F11, F12 over the pages' URLs ----------------------------------
+
+@register("s2_presets", """
+SELECT page_id, page_id % 5 = 0 AS valid FROM pages
+""")
+def s2_presets(spark, sf_dir):
+    """A preset document for each page; by its number it is right, has one key
+    too many, no detectors, an empty selector, or a key too few."""
+    pages = read_pages(spark, sf_dir).select("page_id", "url")
+    some = F.array(F.lit("nav"), F.concat(F.lit("#p"), F.col("page_id").cast("string")))
+    none = F.array().cast("array<string>")
+    good = (some.alias("preset_match_detectors"), some.alias("main_content_selectors"), none.alias("main_content_filters"))
+    kinds = [F.to_json(F.struct(*good)), F.to_json(F.struct(*good, F.col("url").alias("note"))),
+             F.to_json(F.struct(none.alias("preset_match_detectors"), *good[1:])),
+             F.to_json(F.struct(good[0], F.array(F.lit("")).alias("main_content_selectors"), good[2])), F.to_json(F.struct(*good[:2]))]
+    doc = F.element_at(F.array(*kinds), (F.col("page_id") % 5 + 1).cast("int"))
+    presets, rejects = parse_presets(pages.select("page_id", doc.alias("json")))
+    return presets.select("page_id", F.lit(True).alias("valid")).unionByName(rejects.select("page_id", F.lit(False).alias("valid")))
+
+
+_SLUG = r"substr(regexp_replace(regexp_replace(regexp_replace(url, '^(?i)[a-z]+://', ''), '(?i)[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 120)"
+
+
+@register("f11_f12_names", rf"""
+SELECT page_id, {_SLUG} AS slug, substr(lower(regexp_replace(url, '(?i)[^a-z0-9]', '.', 'g')), 1, 200) AS safe_name FROM pages
+""")
+def f11_f12_names(spark, sf_dir):
+    return read_pages(spark, sf_dir).select("page_id", tx.slugify("url").alias("slug"), tx.safe_name("url").alias("safe_name"))
+
+
+@register("s4_markdown_sink", rf"""
+SELECT {_SLUG} AS slug, url, CAST(length(text) AS BIGINT) AS chars
+FROM pages JOIN documents ON doc_id = page_id WHERE length(text) > 0
+""")
+def s4_markdown_sink(spark, sf_dir):
+    import uuid
+
+    pages = read_pages(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("page_id"), F.col("text").alias("markdown"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/markdown-{uuid.uuid4().hex}"
+    write_markdown(pages.join(docs, "page_id"), path)
+    return spark.read.parquet(path).select("slug", "url", tx.utf16_len("markdown").cast("long").alias("chars"))

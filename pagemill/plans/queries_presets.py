@@ -147,11 +147,13 @@ def p8_feedback(spark, sf_dir):
 SELECT page_id, preset_id,
        CASE preset_id WHEN 1 THEN 'preset_match_detectors_failed' WHEN 2 THEN 'invalid_selectors_failed' ELSE 'ok' END AS status,
        CASE preset_id WHEN 1 THEN '.nav' WHEN 2 THEN 'div:contains(' ELSE '' END AS failed,
-       CASE preset_id WHEN 0 THEN
-         CAST(coalesce(list_sum(list_transform(regexp_extract_all(regexp_replace({_ART}, '(?s)<h1>.*?</h1>', '', 'g'), '(?:^|>)([^<]+)', 1),
-              lambda x: length({_DEC.format(x='x')}))), 0) AS BIGINT)
-       END AS text_chars
-FROM pages, {_TPL_VALUES}
+       CAST(CASE preset_id WHEN 0 THEN chars WHEN 3 THEN 2 * chars + paragraphs + 1 END AS BIGINT) AS text_chars
+FROM (
+  SELECT page_id, len(regexp_extract_all({_ART}, '<p\b')) AS paragraphs,
+         coalesce(list_sum(list_transform(regexp_extract_all(regexp_replace({_ART}, '(?s)<h1>.*?</h1>', '', 'g'), '(?:^|>)([^<]+)', 1),
+              lambda x: length({_DEC.format(x='x')}))), 0) AS chars
+  FROM pages
+), {_TPL_VALUES}
 """)
 def p9_apply_text(spark, sf_dir):
     run, nodes, _ = _run(spark, sf_dir)

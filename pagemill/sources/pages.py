@@ -103,17 +103,21 @@ def presets_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 # ---- method inputs and sinks (S3-S6) --------------------------------------
 
-def method_input(pages: DataFrame, markdown: DataFrame | None = None) -> DataFrame:
-    """S3: html and externally made markdown per URL; a missing format becomes
-    an ``error`` text instead of a failure."""
-    df = pages
-    if markdown is not None:
-        df = df.join(markdown.select("url", F.col("markdown").alias("ext_markdown")), "url", "left")
+def method_input(pages: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """S3: the pages plus ``ext_markdown`` and ``ext_html`` that another service
+    made of their URL; a missing format becomes an ``error`` text instead of a
+    failure. Of several rows for a URL the one with markdown, then the least, counts."""
+    none = F.lit(None).cast("string")
+    if external is None:
+        df = pages.withColumns({"ext_markdown": none, "ext_html": none})
     else:
-        df = df.withColumn("ext_markdown", F.lit(None).cast("string"))
+        html = F.col("html") if "html" in external.columns else none
+        one = external.select("url", F.struct("markdown", html.alias("html")).alias("e")).groupBy("url").agg(
+            F.min_by("e", F.struct(F.col("e.markdown").isNull(), "e")).alias("e"))
+        df = pages.join(one, "url", "left").withColumns({"ext_markdown": F.col("e.markdown"), "ext_html": F.col("e.html")}).drop("e")
     err = F.concat_ws(
         "; ",
-        F.when(F.col("html").isNull(), F.lit("html missing")),
+        F.when(F.col("ext_html").isNull(), F.lit("html missing")),
         F.when(F.col("ext_markdown").isNull(), F.lit("markdown missing")),
     )
     return df.withColumn("error", F.nullif(err, F.lit("")))

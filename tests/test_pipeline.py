@@ -34,7 +34,7 @@ def test_comparison_record(spark):
     nodes = parse_pages(pages).repartition("page_id")
     res = K.method_results(pages, nodes, site_presets(pages))
     rows = {(r["page_id"], r["method"]): r for r in res.collect()}
-    assert all(rows[(p, "external")]["error"] == K.NO_EXTERNAL_ERROR for p in range(5))
+    assert all(rows[(p, "external")]["error"] == "html missing; markdown missing" for p in range(5))
     assert all(rows[(p, "literal")]["markdown"] for p in range(5))
     assert all(rows[(p, "preset")]["error"] is None for p in range(5))
     rec = K.comparison_record(res).collect()
@@ -55,13 +55,24 @@ def test_induction_proposes_layout_and_article(spark):
     assert len(fin) == len(p) and all(r["accepted"] for r in fin)
 
 
-def test_proposer_hook_runs_per_host(spark):
+def test_a_few_odd_pages_do_not_undo_good_selectors(spark):
+    """Ten pages of one host: the box on seven of them and the nav on nine stay in the preset."""
+    body = "<article><h1>t</h1>{ad}<p>" + "word " * 60 + "</p><p>more words here</p></article><footer>end</footer>"
+    html = [("" if i == 9 else "<nav><a href='/'>home</a></nav>") + body.format(ad='<div class="ad-box">buy</div>' if i < 7 else "") for i in range(10)]
+    pages = spark.createDataFrame([(i, f"https://one.example.com/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    fin = I.final_presets(I.induce(clean_nodes(pages), pages)).collect()
+    assert len(fin) == 1 and fin[0]["accepted"] and fin[0]["ok_pages"] == 9
+    assert sorted(fin[0]["preset_match_detectors"]) == ["footer", "nav"]
+    assert fin[0]["main_content_filters"] == ["div.ad-box"]
+
+
+def test_proposer_hook_sees_all_pages_of_a_host(spark):
     import pandas as pd
 
     def proposer(pdf: pd.DataFrame) -> pd.DataFrame:
-        host = pdf["host"].iloc[0]
-        return pd.DataFrame([{"preset_id": 7, "host": host, "priority": 0, "preset_match_detectors": ["nav"],
-                              "main_content_selectors": ["article"], "main_content_filters": ["h1"]}])
+        return pd.DataFrame([{"preset_id": 7, "host": h, "priority": 0, "preset_match_detectors": ["nav"],
+                              "main_content_selectors": ["article" if "<p>" in x else "body"], "main_content_filters": ["h1"]}
+                             for h, x in zip(pdf["host"], pdf["html"])])
 
     pages = read_pages(spark, SF)
     out = I.propose_with(pages, proposer).collect()
