@@ -43,7 +43,7 @@ LEAF = 64
 #: Documents with more characters are encoded in parts by several tasks.
 SPREAD_CHARS = 1 << 20
 #: Units in each of the two generations that a worker remembers with their ids.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 150_000
 
 
 def _byte_letters() -> dict[int, str]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagemill.session import checkpoint_dir
 
 #: Text bytes handled at once by the numpy kernels; a longer document is a slice of its own.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
