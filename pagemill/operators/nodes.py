@@ -202,8 +202,9 @@ def node_table(pages: DataFrame, key_cols=("page_id",), html_col: str = "html",
     reads back unpartitioned, and the columnar cache of the nested
     ``attrs`` column measured 40-60% slower).
     """
-    from pagemill.session import bucketed
+    from pagemill.session import bucketed, plan_buckets
 
     keys = list(key_cols)
+    plan_buckets(pages)
     n = parse_pages(pages, key_cols=keys, html_col=html_col, fragment=fragment, predecode=predecode)
     return bucketed(n, keys[0], "pagemill_nodes", partitions)

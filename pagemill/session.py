@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -89,24 +90,58 @@ def cut(df):
 
 
 
+#: Bytes of the bucketed tables that one bucket should hold, about.
+BUCKET_BYTES = 256 << 20
+#: A page's node rows take about this many times its table's bytes.
+NODE_FACTOR = 8
+_BUCKETS = "spark.pagemill.buckets"
+_scratch: list[list[tuple[str, str]]] = []
+
+
+def plan_buckets(pages) -> None:
+    """Fixes the number of buckets of this session's tables from the size of a page table.
+
+    Tables that are joined must agree in it, so it only grows: at least the
+    shuffle partitions, more where the pages' nodes would overfill a bucket.
+    """
+    spark = pages.sparkSession
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 50:  # else unknown, as for a checkpoint
+        now = int(spark.conf.get(_BUCKETS, spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.conf.set(_BUCKETS, str(max(now, min(100_000, -(-size * NODE_FACTOR // BUCKET_BYTES)))))
+
+
 def bucketed(df, key: str, prefix: str = "pagemill", buckets: int | None = None):
     """Write ``df`` bucketed by ``key`` into the shared checkpoint folder and
-    read it back as a table.
+    read it back as a table, in whatever catalog the session has.
 
     Reads of a bucketed table are hash-partitioned on ``key``, so later
     joins, windows and aggregations keyed by it need no exchange (a plain
     checkpoint loses that). Rows are first repartitioned into exactly
     ``buckets`` partitions on ``key`` with the same hash, so each task writes
-    one bucket file. Only with the in-memory catalog (no metastore); any
-    other catalog falls back to a checkpoint.
+    one bucket file.
     """
     import uuid
 
     spark = df.sparkSession
-    if spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "in-memory":
-        return cut(df)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get(_BUCKETS, spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"{prefix}_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    if _scratch:
+        _scratch[-1].append((name, path))
     return spark.table(name)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Drops the bucketed tables made inside, with their files, at the end:
+    for work whose results are written before it ends, as a micro-batch's."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for name, path in _scratch.pop():
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import presets as P
 from pagemill.operators.markdown import render
 from pagemill.operators.nodes import node_table
-from pagemill.session import cut
+from pagemill.session import cut, scratch
 from pagemill.sources.pages import PAGES_SCHEMA
 
 
@@ -42,11 +42,12 @@ def serve(spark: SparkSession, source: str, presets: DataFrame, out_dir: str, ch
 
     def handle(batch: DataFrame, batch_id: int):
         batch = cut(batch)  # read several times below
-        ext, queue = extract_batch(batch, presets)
-        (ext.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/extracts"))
-        (queue.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/queue"))
+        with scratch(batch.sparkSession):
+            ext, queue = extract_batch(batch, presets)
+            (ext.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/extracts"))
+            (queue.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/queue"))
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
