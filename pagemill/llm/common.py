@@ -17,7 +17,20 @@ from pagemill.session import checkpoint_dir
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers, at most.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small, as a worker holds several of them next to its model."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, f"{1 << 30}b")
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +42,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later
     stages restart from these files when executors are lost."""
+    small_batches(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -37,6 +51,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def with_rid(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows. ``df`` must be a file scan or a narrow step on one, so
     that a recomputed partition gives the same rows in the same order."""
+    small_batches(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
