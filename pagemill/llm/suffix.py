@@ -204,8 +204,9 @@ def repeated(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram
                 names=["ah", "nh", "_sx_rid", "start", "left", "wins"])
 
     found = materialise(rows.mapInArrow(find, "ah long, nh long, _sx_rid long, start long, left smallint, wins smallint"), "anchors")
-    shared = found.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ah")
-    shared = materialise(found.join(shared, "ah"), "anchors-shared")
+    # written first, so that both sides of the join are exchanged for it and a hot anchor can be split
+    often = materialise(found.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ah"), "anchors-often")
+    shared = materialise(found.join(often, "ah"), "anchors-shared")
 
     # one occurrence stands for all with an equal neighbourhood
     stands = F.min(F.struct("_sx_rid", "start", "left", "wins")).alias("o")
