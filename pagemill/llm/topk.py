@@ -34,7 +34,7 @@ BLOCK_ROWS, QUERY_ROWS = 4096, 1 << 16
 #: Components are scaled by this and rounded down.
 SCALE = 1024
 #: Shares of the lists after which bounds are compared.
-STOPS = (0.4, 0.55, 0.65, 0.75, 0.85, 1.0)
+STOPS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 #: Reading stops once so few candidates may still qualify.
 RESOLVE_ROWS = 256
 
@@ -46,11 +46,13 @@ class Lists:
         self.values = values.astype(np.float64)  # sums of products of scaled components are exact below 2**53
         self.rows = np.argsort(values.T, axis=1, kind="stable")  # (dims, rows), from the low end
         self.sorted = np.take_along_axis(self.values.T, self.rows, axis=1)
+        self.unread = np.empty(self.values.shape)  # 1 where a query has not read the component yet
 
     def best(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows, without ``own``, among which the k best are, and their scores."""
         n, dims = self.values.shape
-        part, read = np.zeros(n), np.zeros((n, dims), bool)
+        part = np.zeros(n)
+        self.unread.fill(1.0)
         live = np.ones(n, bool)
         live[own] = False
         down = query >= 0
@@ -61,15 +63,14 @@ class Lists:
             for lists, a, b in ((down, n - to, n - at), (up, at, to)):
                 which = np.flatnonzero(lists)
                 rows = self.rows[which, a:b]
-                read[rows, which[:, None]] = True
+                self.unread[rows, which[:, None]] = 0.0
                 part += np.bincount(rows.ravel(), (self.sorted[which, a:b] * query[which, None]).ravel(), n)
             at = to
             if at < n:
                 edge = np.where(down, self.sorted[:, n - at], self.sorted[:, at - 1]) * query
-                unread = (~read).astype(np.float64)
-                lower = np.where(live, part + unread @ worst, -np.inf)
-                bar = np.partition(lower, max(0, n - k))[max(0, n - k)]
-                live &= part + unread @ edge >= bar
+                low, high = (part[:, None] + self.unread @ np.stack([worst, edge], axis=1)).T
+                low = np.where(live, low, -np.inf)
+                live &= high >= np.partition(low, max(0, n - k))[max(0, n - k)]
             if live.sum() <= max(k, RESOLVE_ROWS):
                 break
         rows = np.flatnonzero(live)
