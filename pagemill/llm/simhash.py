@@ -35,11 +35,11 @@ WORDS = 4
 #: Most differing bits of linked fingerprints.
 MAX_BITS = 4
 #: Fingerprints in a subtree that is one side of a task.
-NODE_FPS = 1 << 15
+NODE_FPS = 1 << 14
 #: Prefix bits by which subtrees are told apart.
 PREFIX_BITS = 16
 #: Node pairs expanded at once, and links kept before they are reduced to a forest.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -84,15 +84,15 @@ class Trie:
         self.first = first  # of each node of the top level, its first value
         while True:
             size = np.diff(np.append(first, len(values)))
-            self.levels.append((size == 1, first))
+            self.levels.append((size == 1, first.astype(np.int32)))
             if depth == 64 or (size == 1).all():
                 break
             # a value starts a node of the next level where its first depth + 1 bits change
             starts = np.flatnonzero(np.concatenate([[True], (values[1:] ^ values[:-1]) >> np.uint64(63 - depth) != 0])) if len(values) > 1 else np.zeros(1, np.int64)
             owner = np.searchsorted(first, starts, side="right") - 1
             bit = (values[starts] >> np.uint64(63 - depth)) & np.uint64(1)
-            child = np.full((2, len(first)), -1, np.int64)
-            child[bit.astype(np.int64), owner] = np.arange(len(starts))
+            child = np.full((2, len(first)), -1, np.int32)
+            child[bit.astype(np.int64), owner] = np.arange(len(starts), dtype=np.int32)
             self.levels[-1] += (child,)
             first, depth = starts, depth + 1
 
@@ -190,8 +190,8 @@ def trie_links(fps: DataFrame, max_bits: int = MAX_BITS, node_fps: int = NODE_FP
         top = (values[trie.first] >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(1, np.int64)
         i = np.searchsorted(top, prefixes[u] >> (depths[u] - depth))
         j = np.searchsorted(top, prefixes[v] >> (depths[v] - depth))
-        d = np.bitwise_count(np.array([top[i] ^ top[j]])).astype(np.int64)
-        root = forest(len(values), trie.pairs(np.array([i]), np.array([j]), d, max_bits))
+        d = np.bitwise_count(np.array([top[i] ^ top[j]]))
+        root = forest(len(values), trie.pairs(np.array([i], np.int32), np.array([j], np.int32), d.astype(np.int8), max_bits))
         linked = np.flatnonzero(root != np.arange(len(values)))
         return pa.table({"a": values[linked].view(np.int64), "b": values[root[linked]].view(np.int64)})
 
