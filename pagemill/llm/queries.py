@@ -32,6 +32,6 @@ register("op4_topk", lambda spark, d: topk.digest(read_table(spark, d, "embeddin
 register("op5_packing", documents(lambda docs: packing.digest(docs, tokenizer())))
 register("op6_langid", documents(langid.digest))
 register("op7_shards", documents(lambda docs: shards.digest(docs, tokenizer())))
-register("op8_lm", documents(lm.digest))
+register("op8_lm", documents(lambda docs: lm.digest(docs, order=3)))
 register("op9_exact_dedup", documents(exact_dedup.digest), exact_dedup.ORACLE_SQL)
 register("op10_simhash", documents(simhash.digest))

@@ -136,6 +136,73 @@ def test_lm(table, monkeypatch, small):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def brute_lm_of(rows, order):
+    """Interpolated modified Kneser-Ney by dictionaries of tuples; an n-gram at a text's head has nothing before it."""
+    split = lambda t: ["<s>"] + re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["</s>"]
+    texts = [(i, split(t)) for i, t, *_ in rows]
+    raw = {n: Counter(tuple(x[j:j + n]) for i, x in texts if i is not None and crc(i, 7) != 2 for j in range(len(x) - n + 1)) for n in range(1, order + 1)}
+    adjusted = {order: raw[order]}
+    for n in range(1, order):
+        lefts = Counter(g[1:] for g in raw[n + 1])
+        adjusted[n] = {g: c if n > 1 and g[0] == "<s>" else lefts[g] for g, c in raw[n].items() if g != ("<s>",)}
+    off = {n: lm.discounts(np.array([Counter(c.values())[k] for k in (1, 2, 3, 4)])) for n, c in adjusted.items()}
+    total, back = defaultdict(float), defaultdict(float)
+    for n, c in adjusted.items():
+        for g, k in c.items():
+            total[g[:-1]] += k
+            back[g[:-1]] += off[n][min(k, 3)]
+    n_words = len(adjusted[1])
+
+    def p(g):
+        if not g:
+            return 1 / (n_words + 1)
+        if not total[g[:-1]]:
+            return p(g[1:])
+        k = adjusted[len(g)].get(g, 0)
+        return (max(k - off[len(g)][min(k, 3)], 0) + back[g[:-1]] * p(g[1:])) / total[g[:-1]]
+
+    return sorted((str(i), len(x) - 1, round(sum(math.log10(p(tuple(x[max(0, j - order + 1):j + 1]))) for j in range(1, len(x))), 3)) for i, x in texts)
+
+
+@pytest.mark.parametrize("order,small", [(2, False), (3, False), (3, True), (4, True)])
+def test_lm_counts_longer_contexts(table, monkeypatch, order, small):
+    if small:  # many ranges, many flushes
+        for name, value in (("WORD_BYTES", 3000), ("PAIR_BYTES", 2000), ("FLUSH_KEYS", 500)):
+            monkeypatch.setattr(lm, name, value)
+    rows = DOCS + [(100 + i, " ".join(prose(400, 1).split()[i:i + 40 + i]), "en", None, None) for i in range(40)] + [(200, "the the " * 900, "en", None, None)]
+    have = sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in lm.digest(table(rows, extra=CLASH), order=order).collect())
+    for a, b in zip(have, brute_lm_of(rows, order), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-3, rel=1e-6)
+
+
+def test_lm_query_scores_by_trigrams(spark, table, monkeypatch):
+    from pagemill.llm import queries
+
+    rows = DOCS + [(100 + i, prose(60 + i, 1), "en", None, None) for i in range(40)]
+    docs = table(rows)
+    monkeypatch.setattr(queries, "read_table", lambda *_: docs)
+    have = sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in queries.QUERIES["op8_lm"](spark, "").collect())
+    for a, b in zip(have, brute_lm_of(rows, 3), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-3, rel=1e-6)
+
+
+def test_lm_of_empty_texts(table):
+    train, held = [i for i in range(99) if crc(i, 7) != 2][:3], next(i for i in range(99) if crc(i, 7) == 2)
+    rows = [(i, "", None, None, None) for i in train] + [(held, "a b", None, None, None)]
+    have = sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in lm.digest(table(rows, SCHEMA, 1), order=3).collect())
+    assert [x[:2] for x in have] == [x[:2] for x in brute_lm_of(rows, 3)]
+    assert [x[2] for x in have] == pytest.approx([x[2] for x in brute_lm_of(rows, 3)], abs=2e-3)
+
+
+def test_lm_counts_are_not_cut(tmp_path):
+    keys, times = np.array([5, 9], np.uint64), np.array([3, (1 << 32) + 7])
+    lm._save_counts(str(tmp_path), "left1-0", times)
+    parcel = list(lm._parcels(keys, times, np.zeros(1, np.uint64)))
+    assert lm._merged(iter(parcel + parcel))[2].tolist() == (2 * times).tolist()
+    model = lm.Model(str(tmp_path), 2, 0, [lm.Level(np.zeros(1, np.uint64), np.array([0, 2]))])
+    assert lm.Reader(model).of(1, "left1", "u1", np.array([0, 1])).tolist() == times.tolist()
+
+
 def test_lm_without_training_rows(table):
     held = next(i for i in range(99) if crc(i, 7) == 2)
     out = lm.digest(table([(held, "a b", None, None, None)], SCHEMA, 1)).collect()
