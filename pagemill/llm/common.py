@@ -48,10 +48,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fixes into how many partitions a file scan is cut at least. Otherwise that
+    follows the executors registered at the time, and a second scan, after one
+    came or went, would give the same rows other numbers."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+
+
 def with_rid(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows. ``df`` must be a file scan or a narrow step on one, so
     that a recomputed partition gives the same rows in the same order."""
     small_batches(df.sparkSession)
+    pin_splits(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pagemill.llm import exact_dedup, simhash, suffix
+from pagemill.llm.common import with_rid
 from pagemill.llm.components import components
 
 from .conftest import DOCS, SCHEMA, prose
@@ -150,3 +151,31 @@ def test_suffix_stage_keeps_whole_characters(spark, table):
     docs = table([(1, "é" * 150 + "x", "fr", "a", 151), (2, "é" * 150, "fr", "a", 150), (3, None, None, None, 4)])
     out = {r.doc_id: (r.text, r.n_chars) for r in suffix.stage(spark, docs, "").collect()}
     assert out == {1: ("x", 1), 2: ("", 0), 3: (None, None)}
+
+
+@pytest.fixture
+def scans(spark, table):
+    """A table in a session of its own, and a function that sets how parallel later scans would be."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.openCostInBytes", "1")
+    rows = [(i, prose(60, i % 40), "en", None, None) for i in range(120)]
+    docs = own.read.schema(SCHEMA).parquet(table(rows, files=8).inputFiles()[0].rsplit("/", 1)[0])
+    cores = lambda n: own.conf.set("spark.sql.leafNodeDefaultParallelism", str(n))
+    cores(2)
+    return docs, rows, cores
+
+
+def test_two_scans_number_rows_alike_though_executors_come_and_go(scans):
+    docs, _, cores = scans
+    first = Counter(map(tuple, with_rid(docs).select("doc_id", "_rid").collect()))
+    cores(7)
+    assert Counter(map(tuple, with_rid(docs).select("doc_id", "_rid").collect())) == first
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.stage, simhash.stage])
+def test_stages_keep_the_right_rows_though_executors_come_and_go(scans, stage):
+    docs, rows, cores = scans
+    out = stage(docs.sparkSession, docs, "")
+    cores(7)  # the texts are scanned again only now
+    kept = out.collect()
+    assert Counter(r.text for r in kept) == Counter({t for _, t, *_ in rows}) and {r.doc_id for r in kept} == set(range(40))
