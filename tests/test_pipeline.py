@@ -66,6 +66,32 @@ def test_a_few_odd_pages_do_not_undo_good_selectors(spark):
     assert fin[0]["main_content_filters"] == ["div.ad-box"]
 
 
+def test_each_layout_of_a_host_gets_its_preset(spark):
+    """Six pages of one layout, four of another, in a common box; one detector more than three, missed now and then."""
+    text = "<p>" + "word " * 60 + "</p><p>more words here</p>"
+    heads = "<header>h</header><nav><a href='/'>home</a></nav><div class='topbar'>top</div><aside class='side'>s</aside>"
+    one = "<div id='page'>" + heads + "<article><h1>t</h1>" + text + "</article><footer>end</footer></div>"
+    two = "<div id='page'>" + heads + "<div class='post'><h1>t</h1>" + text + "</div><footer>end</footer></div>"
+    pages = spark.createDataFrame([(i, f"https://one.example.com/{i}", one if i < 6 else two) for i in range(10)], "page_id long, url string, html string")
+    fin = I.final_presets(I.induce(clean_nodes(pages), pages))
+    rows = {r["main_content_selectors"][0]: r for r in fin.collect()}
+    assert {m: (r["accepted"], r["pages"], r["ok_pages"]) for m, r in rows.items()} == {"article": (True, 6, 6), "div.post": (True, 4, 4)}
+    assert all(set(r["preset_match_detectors"]) >= {"header", "nav", "div.topbar", "aside.side", "footer", m} for m, r in rows.items())
+    presets = fin.where("accepted").select("preset_id", "host", "priority", "preset_match_detectors", "main_content_selectors", "main_content_filters")
+    res = {r["page_id"]: r for r in K.method_results(pages, parse_pages(pages).repartition("page_id"), presets).where("method = 'preset'").collect()}
+    assert len(res) == 10 and all(r["error"] is None and "more words here" in r["markdown"] and "home" not in r["markdown"] for r in res.values())
+
+
+def test_detectors_that_together_miss_too_many_pages_are_dropped(spark):
+    """Four layout elements, each missing on another tenth of the pages: all four are there on six of ten."""
+    parts = ["<header>h</header>", "<nav><a href='/'>home</a></nav>", "<aside>s</aside>", "<footer>end</footer>"]
+    body = "<article><h1>t</h1><p>" + "word " * 60 + "</p><p>more words here</p></article>"
+    html = ["".join(x for k, x in enumerate(parts) if k != i) + body for i in range(10)]
+    pages = spark.createDataFrame([(i, f"https://one.example.com/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    fin = I.final_presets(I.induce(clean_nodes(pages), pages)).collect()
+    assert len(fin) == 1 and fin[0]["accepted"] and fin[0]["ok_pages"] == 8 and len(fin[0]["preset_match_detectors"]) == 2
+
+
 def test_proposer_hook_sees_all_pages_of_a_host(spark):
     import pandas as pd
 
