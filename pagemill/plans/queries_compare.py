@@ -150,6 +150,12 @@ def i2_nav_links(spark, sf_dir):
     return stats.where(F.col("selector") == "nav").select("host", F.col("link_chars").cast("long").alias("link_chars"))
 
 
+@register("i2_repeats")
+def i2_repeats(spark, sf_dir):
+    pages, cleaned = _mined(spark, sf_dir)
+    return I.repeats(cleaned, pages.select("page_id", tx.url_host("url").alias("host")), "host")
+
+
 @register("i2_proposals", f"""
 SELECT DISTINCT {_HOST} AS host, 'footer, nav' AS detectors, 'article' AS main, '' AS filters FROM pages
 """)

@@ -92,6 +92,38 @@ def test_detectors_that_together_miss_too_many_pages_are_dropped(spark):
     assert len(fin) == 1 and fin[0]["accepted"] and fin[0]["ok_pages"] == 8 and len(fin[0]["preset_match_detectors"]) == 2
 
 
+def repeating_pages(spark):
+    note = "<div class='fine'><p>All rights</p> <p>are   reserved.</p></div>"
+    html = ["<nav><a href='/'>home</a></nav><article><h2 class='s'>Contents</h2><p class='t'>" + f"word{i} " * 60 + f"</p>{note}<p>more words {i}</p></article>" for i in range(6)]
+    return spark.createDataFrame([(i, f"https://one.example.com/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+
+
+def test_text_repeated_across_pages_is_filtered(spark):
+    from pagemill.functions.text import url_host
+
+    pages = repeating_pages(spark)
+    cleaned = clean_nodes(pages)
+    got = I.repeats(cleaned, pages.select("page_id", url_host("url").alias("host")), "host").collect()
+    assert {(r["selector"], r["elements"], r["repeated"], r["repeated_text_ratio"]) for r in got} == {
+        ("nav", 6, 6, 1.0), ("a", 6, 6, 1.0), ("article", 6, 0, 0.0), ("h2.s", 6, 6, 1.0), ("p.t", 6, 0, 0.0), ("div.fine", 6, 6, 1.0), ("p", 18, 12, 12 / 18)}
+    _, presets = I.mine(cleaned, pages)
+    assert [r["main_content_filters"] for r in presets.collect()] == [["div.fine"]]
+
+
+def test_proposer_is_asked_each_round_and_told_what_came_out(spark):
+    import pandas as pd
+
+    def proposer(pdf: pd.DataFrame) -> pd.DataFrame:
+        good = ["Main content selectors matched nothing: div.none" in f for f in pdf["feedback"]]
+        return pd.DataFrame([{"preset_id": 7 + g, "host": h, "priority": 0, "preset_match_detectors": ["nav"],
+                              "main_content_selectors": ["article" if g else "div.none"], "main_content_filters": []} for h, g in zip(pdf["host"], good)])
+
+    pages = repeating_pages(spark)
+    rows = sorted(I.induce(clean_nodes(pages), pages, max_rounds=3, proposer=proposer).collect(), key=lambda r: r["round"])
+    assert [(r["round"], r["accepted"], r["ok_pages"]) for r in rows] == [(1, False, 0), (2, True, 6)]
+    assert rows[1]["feedback"].startswith("\n\nExtraction preview (markdown):\n") and "more words 0" in rows[1]["feedback"]
+
+
 def test_proposer_hook_sees_all_pages_of_a_host(spark):
     import pandas as pd
 
