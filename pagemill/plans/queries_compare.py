@@ -138,6 +138,14 @@ def i2_support(spark, sf_dir):
         "host", "selector", F.col("pages_with").cast("long").alias("pages_with"))
 
 
+@register("i2_signatures")
+def i2_signatures(spark, sf_dir):
+    """All (host, selector, tag) rows, of which i2_support and i2_nav_links show what their SQL can express."""
+    pages, cleaned = _mined(spark, sf_dir)
+    stats, _ = I.mine(cleaned, pages)
+    return stats.select("host", "selector", "tag", *[F.col(c).cast("long").alias(c) for c in ("pages_with", "text_chars", "link_chars", "p_chars")], "support", "link_density")
+
+
 @register("i2_nav_links", f"""
 SELECT {_HOST} AS host,
        CAST(sum(list_sum(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1),
