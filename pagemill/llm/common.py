@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,6 +188,26 @@ def unsqueeze(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(kind), dtype=kind)
 
 
+def arrow_uri(path: str) -> str:
+    """A path of the shared folder as pyarrow opens it."""
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
+def beside(side: DataFrame, rid: str, name: str) -> str:
+    """Writes rows about numbered rows to one folder for each scan partition, so that
+    the task that scans it finds them there and texts need no shuffle."""
+    path = shared_path(side.sparkSession, name)
+    side.withColumn("_scan", F.shiftright(rid, 33)).repartition("_scan").write.partitionBy("_scan").parquet(path)
+    return arrow_uri(path)
+
+
+def own_rows(path: str, part: int) -> pa.Table | None:
+    """The rows that ``beside`` wrote for one scan partition."""
+    store, folder = fs.FileSystem.from_uri(path)
+    files = [f for f in store.get_file_info(fs.FileSelector(f"{folder}/_scan={part}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
+    return pa.concat_tables([pq.read_table(store.open_input_file(f.path)) for f in files]) if files else None
+
+
 def local_path(path: str) -> str:
     """The path of a shared folder as the workers' file system sees it."""
     if path.startswith("file:"):

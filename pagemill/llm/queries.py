@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import bpe, exact_dedup, langid, lm, packing, periods, quality, shards, simhash, suffix, topk
+from pagemill.llm import bpe, collocations, exact_dedup, langid, lm, packing, periods, quality, shards, simhash, suffix, topk
 from pagemill.llm.common import read_table
 
 QUERIES = {}
@@ -36,3 +36,4 @@ register("op8_lm", documents(lambda docs: lm.digest(docs, order=3)))
 register("op9_exact_dedup", documents(exact_dedup.digest), exact_dedup.ORACLE_SQL)
 register("op10_simhash", documents(simhash.digest))
 register("op12_periods", documents(periods.digest))
+register("op13_collocations", documents(collocations.collocations), collocations.ORACLE_SQL)
