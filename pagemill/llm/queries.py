@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import bpe, collocations, exact_dedup, langid, lm, packing, periods, quality, shards, simhash, suffix, topk
+from pagemill.llm import bpe, collocations, exact_dedup, langid, lm, packing, periods, quality, shards, simhash, suffix, topk, warc
 from pagemill.llm.common import read_table
 
 QUERIES = {}
@@ -37,3 +37,4 @@ register("op9_exact_dedup", documents(exact_dedup.digest), exact_dedup.ORACLE_SQ
 register("op10_simhash", documents(simhash.digest))
 register("op12_periods", documents(periods.digest))
 register("op13_collocations", documents(collocations.collocations), collocations.ORACLE_SQL)
+register("op11_warc", lambda spark, d: warc.digest(read_table(spark, d, "pages")), warc.ORACLE_SQL)
