@@ -197,8 +197,10 @@ def _count(rows: DataFrame, lengths: tuple[int, ...], known: Table | None, least
                     [pa.array(distinct.view(np.int64)), pa.array(times), pa.array(rid[words.text[at[first]]])], names=["_cl_fp", "_cl_times", "_cl_rid"])
 
     found = rows.mapInArrow(run, "_cl_fp long, _cl_times long, _cl_rid long")
-    found = found.groupBy("_cl_fp").agg(F.sum("_cl_times").alias("_cl_times"), F.min("_cl_rid").alias("_cl_rid")).where(F.col("_cl_times") >= least)
-    return materialise(found, "fingerprints")
+    # of all documents the one whose scan is nearest to bits of the fingerprint: each scan gets its share of pointers
+    bits = F.shiftleft(F.shiftrightunsigned("_cl_fp", 34), 33)
+    found = found.withColumn("_cl_rid", F.col("_cl_rid").bitwiseXOR(bits)).groupBy("_cl_fp").agg(F.sum("_cl_times").alias("_cl_times"), F.min("_cl_rid").alias("_cl_rid")).where(F.col("_cl_times") >= least)
+    return materialise(found.withColumn("_cl_rid", F.col("_cl_rid").bitwiseXOR(bits)), "fingerprints")
 
 
 def _cut_out(rows: DataFrame, frequent: DataFrame, lengths: tuple[int, ...], known: Table, prints: Callable) -> DataFrame:
