@@ -9,12 +9,15 @@ anywhere else. Sampling makes this a merge of small, independent parts:
    Anchors whose string occurs once are dropped. Of occurrences whose whole
    neighbourhood (all windows that name them) is equal, one stands for all,
    with how many there are.
-2. A shard (what one task has scanned) is a sampled Burrows-Wheeler transform:
-   its anchors' suffixes in sorted order, each with the bytes before it.
-   The shards of a hash range are merged by refining their interleave: blocks
-   that agree on the first h bytes are split by the next eight, each shard's
-   order being kept, until a block holds one suffix. Where a block splits, the
-   common prefix of its neighbours is known.
+2. A shard (a slice of what one task has scanned) is a sampled Burrows-Wheeler
+   transform: its anchors' suffixes in sorted order, each with the bytes before
+   it, its rank and how many bytes it shares with the one of the rank before.
+   The shards of an anchor are merged by refining their interleave: first each
+   shard's suffixes follow those of the shard before. A pass splits the blocks
+   that agree on the first h bytes by the next eight. Only the heads of a
+   shard's stretches that share those bytes, as its common prefixes tell, are
+   looked at; what follows them keeps its rank behind them. Passes end when a
+   block holds one stretch. Where a block splits, the common prefix is known.
 3. From the merged order one goes backwards as in a Burrows-Wheeler transform:
    step d reorders the suffixes, stably, by the byte d places before their
    anchor. Suffixes that share those d bytes and lie in one interval whose
@@ -43,20 +46,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import SLICE_BYTES, materialise, pick, prefix_hashes, range_hashes, ranges, shared_path, slices, utf8, with_rid
+from pagemill.llm.common import beside, materialise, own_rows, pick, prefix_hashes, range_hashes, ranges, slices, utf8, with_rid
 
 #: Bytes of a repeated string, and of the strings that serve as anchors.
 LENGTH, GRAM = 200, 32
 #: Different neighbourhoods of one anchor that are merged in one task.
 SPLIT = 100_000
-#: Suffixes merged by one task, about.
-MERGE_ROWS = 40_000
+#: Suffixes of a task, about, and those that it merges at once (but for an anchor with more).
+TASK_ROWS, MERGE_ROWS = 200_000, 10_000
+#: Text bytes whose anchors are chosen at once, and whose suffixes are a shard.
+SLICE_BYTES = 1 << 18
 #: Positions handled at once when anchors are chosen.
 CHUNK = 1 << 15
 
@@ -111,43 +114,59 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
             yield rid, np.array([at]), part, np.array([0, len(part)])
 
 
-def merge(ah: np.ndarray, text: np.ndarray, left: np.ndarray, wins: np.ndarray, several: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """First and last d of the repeated windows of each neighbourhood (-1: none).
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes the rows of two matrices share."""
+    differ = a != b
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
-    ``text`` holds, for each, ``length`` bytes from its anchor on and before them,
-    reversed, the bytes before the anchor (zeros beyond the neighbourhood);
-    windows are named by d, the bytes before their anchor; ``several`` marks
-    neighbourhoods that occur more than once.
-    """
-    n = len(ah)
-    right, before = text[:, :length], text[:, length:]
-    least = left - wins + 1  # d of a neighbourhood's last window; left is that of its first
-    low, high = np.where(several, least, -1), np.where(several, left, -1)
 
-    # the shards' interleave: blocks of equal hash first, then refined by the bytes that follow
-    order = np.argsort(ah, kind="stable")
-    common = np.zeros(n, np.int64)  # bytes shared with the one before in order
-    block = np.cumsum(np.concatenate([[0], ah[order][1:] != ah[order][:-1]])) if n else np.zeros(0, np.int64)
+def interleave(block: np.ndarray, shard: np.ndarray, lcp: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bytes shared with the one before) of suffixes that come by block, shard and
+    rank; ``lcp`` is that with the rank before in the shard, ``words`` their bytes, eight at a time."""
+    n, length = len(block), 8 * words.shape[1]
+    order, common = np.arange(n), np.zeros(n, np.int64)
     common[1:][block[1:] == block[:-1]] = length
-    words = np.ascontiguousarray(right).view(">u8").astype(np.uint64)
-    for w in range(length // 8):
+    for w in range(words.shape[1]):
         same = np.concatenate([[False], block[1:] == block[:-1], [False]])
         open_at = np.flatnonzero(same[:-1] | same[1:])  # places in blocks of two or more
         if not len(open_at):
             break
-        word = words[order[open_at], w]
-        step = np.lexsort((word, block[open_at]))  # stable: blocks stay, each shard's order stays
-        order[open_at] = order[open_at][step]
-        word = word[step]
-        split = np.flatnonzero((word[1:] != word[:-1]) & (block[open_at][1:] == block[open_at][:-1]))
+        own, of = order[open_at], block[open_at]
+        # a stretch of one shard that shares this word goes where its head goes
+        follows = (of[1:] == of[:-1]) & (own[1:] == own[:-1] + 1) & (shard[own[1:]] == shard[own[:-1]]) & (lcp[own[1:]] >= 8 * (w + 1))
+        head = np.flatnonzero(np.concatenate([[True], ~follows]))
+        size = np.diff(np.append(head, len(own)))
+        word = words[own[head], w]
+        step = np.lexsort((word, of[head]))  # stable: equal words keep the order of the shards
+        order[open_at] = own[ranges(head[step], size[step])]
+        word, of, at = word[step], of[head][step], np.cumsum(size[step]) - size[step]
+        split = np.flatnonzero((word[1:] != word[:-1]) & (of[1:] == of[:-1]))
         differ = word[1:][split] ^ word[:-1][split]
         equal = np.zeros(len(split), np.int64)
         for k in range(1, 8):
             equal += differ >> np.uint64(64 - 8 * k) == 0
-        common[open_at[split + 1]] = 8 * w + equal
+        place = open_at[at[split + 1]]
+        common[place] = 8 * w + equal
         new = np.zeros(n, np.int64)
-        new[open_at[split + 1]] = 1
+        new[place] = 1
         block = block + np.cumsum(new)
+    return order, common
+
+
+def merge(ah: np.ndarray, shard: np.ndarray, lcp: np.ndarray, text: np.ndarray, left: np.ndarray, wins: np.ndarray, several: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """First and last d of the repeated windows of each neighbourhood (-1: none).
+
+    They come by anchor, shard and rank. ``text`` holds, for each, ``length``
+    bytes from its anchor on and before them, reversed, the bytes before the
+    anchor (zeros beyond the neighbourhood); windows are named by d, the bytes
+    before their anchor; ``several`` marks neighbourhoods that occur more than once.
+    """
+    n = len(ah)
+    before = text[:, length:]
+    least = left - wins + 1  # d of a neighbourhood's last window; left is that of its first
+    low, high = np.where(several, least, -1), np.where(several, left, -1)
+    block = np.cumsum(np.concatenate([[0], ah[1:] != ah[:-1]])) if n else np.zeros(0, np.int64)
+    order, common = interleave(block, shard, lcp, np.ascontiguousarray(text[:, :length]).view(">u8").astype(np.uint64))
 
     # backwards over the bytes before the anchors
     rank = np.empty(n, np.int64)
@@ -176,21 +195,6 @@ def merge(ah: np.ndarray, text: np.ndarray, left: np.ndarray, wins: np.ndarray,
     return low, high
 
 
-def _beside(side: DataFrame, name: str) -> str:
-    """Writes rows with ``_sx_rid`` to one folder for each scan partition."""
-    path = shared_path(side.sparkSession, name)
-    part = F.shiftright("_sx_rid", 33)
-    side.withColumn("_sx_part", part).repartition("_sx_part").write.partitionBy("_sx_part").parquet(path)
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-
-def _own(path: str, part: int) -> pa.Table | None:
-    """The rows written for one scan partition."""
-    store, folder = fs.FileSystem.from_uri(path)
-    files = [f for f in store.get_file_info(fs.FileSelector(f"{folder}/_sx_part={part}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
-    return pa.concat_tables([pq.read_table(store.open_input_file(f.path)) for f in files]) if files else None
-
-
 def repeated(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
     """(_sx_rid, _sx_spans): of each row of ``docs``, numbered by ``with_rid``, the
     byte ranges that repeated strings cover. Rows without any are left out."""
@@ -215,33 +219,40 @@ def repeated(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram
     wide = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select("ah")
     wide_n = wide.count()
     total = kinds.count()
-    beside = _beside(kinds, "neighbourhoods-by-scan")
+    by_scan = beside(kinds, "_sx_rid", "neighbourhoods-by-scan")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's neighbourhoods in suffix order, each with its bytes."""
+        """A slice's neighbourhoods in suffix order, each with its bytes."""
         mine = None
-        for batch in slices(batches, "_sx_text"):
+        for batch in slices(batches, "_sx_text", SLICE_BYTES):
             rid = pick(batch, "_sx_rid").to_numpy()
             if mine is None:
-                mine = _own(beside, int(rid[0] >> 33))
+                mine = own_rows(by_scan, int(rid[0] >> 33))
                 if mine is None:
                     return
                 mine = mine.sort_by("_sx_rid")
                 owner = mine.column("_sx_rid").to_numpy()
             raw, off = utf8(pick(batch, "_sx_text"))
-            a, b = np.searchsorted(owner, [rid[0], rid[-1]], side="left")[0], np.searchsorted(owner, rid[-1], side="right")
+            a, b = np.searchsorted(owner, rid[0]), np.searchsorted(owner, rid[-1], side="right")
             if a == b:
                 continue
             part = mine.slice(a, b - a)
             start, left, wins = (part.column(c).to_numpy().astype(np.int64) for c in ("start", "left", "wins"))
             start = start + off[np.searchsorted(rid, owner[a:b])]
-            text = [raw[s:s + w - 1 + length].tobytes() for s, w in zip(start.tolist(), wins.tolist())]
-            ah = part.column("ah").to_numpy()
-            order = sorted(range(len(text)), key=lambda i: (ah[i], text[i][left[i]:]))
-            part = part.select(["ah", "nh", "several", "left", "wins"]).append_column("text", pa.array(text, pa.binary())).take(pa.array(order))
+            size = wins - 1 + length
+            ends = np.concatenate([[0], np.cumsum(size)])
+            bytes_ = raw[ranges(start, size)]
+            ah, right = part.column("ah").to_numpy(), _beside_anchor(bytes_, ends, left, length)[0]
+            order = np.lexsort((*np.ascontiguousarray(right).view(">u8").T[::-1], ah))
+            ah, right = ah[order], right[order]
+            lcp = np.zeros(len(ah), np.int64)
+            lcp[1:] = np.where(ah[1:] == ah[:-1], shared_bytes(right[1:], right[:-1]), 0)
+            text = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(bytes_)]).cast(pa.binary())
+            part = part.select(["ah", "nh", "several", "left", "wins"]).append_column("text", text).take(pa.array(order))
+            part = part.append_column("shard", pa.array(np.full(len(ah), rid[0]))).append_column("rank", pa.array(np.arange(len(ah), dtype=np.int32))).append_column("lcp", pa.array(lcp.astype(np.int16)))
             yield from part.combine_chunks().to_batches()
 
-    shards = rows.mapInArrow(shard, "ah long, nh long, several boolean, left smallint, wins smallint, text binary")
+    shards = rows.mapInArrow(shard, "ah long, nh long, several boolean, left smallint, wins smallint, text binary, shard long, rank int, lcp smallint")
     if wide_n:
         shards = materialise(shards, "shards")
         merged = _merged(shards.join(wide, "ah", "left_anti"), total, length)
@@ -253,29 +264,47 @@ def repeated(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram
     return cover.groupBy("_sx_rid").agg(F.collect_list(F.struct("a", "b")).alias("_sx_spans"))
 
 
+def _beside_anchor(raw: np.ndarray, off: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes from each anchor on, and those before it, backwards (zeros beyond the text's ends)."""
+    n = len(left)
+    after, before = np.zeros((n, length), np.uint8), np.zeros((n, length), np.uint8)
+    for a in range(0, n, MERGE_ROWS):
+        part, row = slice(a, min(n, a + MERGE_ROWS)), np.arange(min(n, a + MERGE_ROWS) - a)
+        at, none = off[:-1][part] + left[part], np.zeros(len(row))
+        size = np.minimum(off[1:][part] - at, length)
+        after[part][np.repeat(row, size), ranges(none, size)] = raw[ranges(at, size)]
+        back = ranges(none, left[part])
+        before[part][np.repeat(row, left[part]), back] = raw[np.repeat(at - 1, left[part]) - back]
+    return after, before
+
+
 def _merged(shards: DataFrame, total: int, length: int) -> DataFrame:
-    """Repeated windows (ah, nh, low, high) by merging the shards of each hash range."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), SHARD)
-        n = rows.num_rows
-        if not n:
-            return
-        ah, nh = rows.column("ah").to_numpy(), rows.column("nh").to_numpy()
-        left, wins = (rows.column(c).to_numpy().astype(np.int64) for c in ("left", "wins"))
-        raw, off = utf8(rows.column("text"))
-        text = np.zeros((n, 2 * length), np.uint8)  # bytes from the anchor on, then those before it, backwards
-        at, row = off[:-1] + left, np.arange(n)
-        after = np.minimum(off[1:] - at, length)
-        text[np.repeat(row, after), ranges(np.zeros(n), after)] = raw[ranges(at, after)]
-        text[np.repeat(row, left), length + ranges(np.zeros(n), left)] = raw[np.repeat(at - 1, left) - ranges(np.zeros(n), left)]
-        low, high = merge(ah, text, left, wins, rows.column("several").to_numpy(zero_copy_only=False), length)
+    """Repeated windows (ah, nh, low, high) by merging the shards of each anchor."""
+    def some(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ah, nh, shard = (rows.column(c).to_numpy() for c in ("ah", "nh", "shard"))
+        left, wins, lcp = (rows.column(c).to_numpy().astype(np.int64) for c in ("left", "wins", "lcp"))
+        text = np.concatenate(_beside_anchor(*utf8(rows.column("text")), left, length), axis=1)
+        low, high = merge(ah, shard, lcp, text, left, wins, rows.column("several").to_numpy(), length)
         hit = np.flatnonzero(low >= 0)
         yield pa.RecordBatch.from_arrays([pa.array(ah[hit]), pa.array(nh[hit]), pa.array(low[hit]), pa.array(high[hit])], names=["ah", "nh", "low", "high"])
 
-    return shards.repartition(max(8, total // MERGE_ROWS), "ah").mapInArrow(run, "ah long, nh long, low long, high long")
-
-
-SHARD = pa.schema([("ah", pa.int64()), ("nh", pa.int64()), ("several", pa.bool_()), ("left", pa.int16()), ("wins", pa.int16()), ("text", pa.binary())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0  # rows come by anchor; whole anchors are merged
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= MERGE_ROWS:
+                rows = pa.Table.from_batches(held)
+                ah = rows.column("ah").to_numpy()
+                cut = int(np.searchsorted(ah, ah[-1]))
+                if cut:
+                    yield from some(rows.slice(0, cut))
+                held, n = rows.slice(cut).combine_chunks().to_batches(), len(ah) - cut
+        if n:
+            yield from some(pa.Table.from_batches(held))
+
+    return (shards.repartition(max(8, total // TASK_ROWS), "ah").sortWithinPartitions("ah", "shard", "rank")
+            .mapInArrow(run, "ah long, nh long, low long, high long"))
 
 
 def _dealt(shards: DataFrame, length: int) -> DataFrame:
@@ -310,7 +339,7 @@ def union_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", kept_col: str = "_sx_kept", runs_col: str = "_sx_runs", length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
     """``docs`` plus the bytes that stay (binary) and the removed runs (array of structs a, b)."""
-    beside = _beside(repeated(docs, text_col, length, gram, split), "spans-by-scan")
+    by_scan = beside(repeated(docs, text_col, length, gram, split), "_sx_rid", "spans-by-scan")
     rows = with_rid(docs, "_sx_rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +347,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", kept_col: str = "_sx
         for batch in slices(batches, text_col):
             rid = pick(batch, "_sx_rid").to_pylist()
             if mine is None:
-                own = _own(beside, rid[0] >> 33)
+                own = own_rows(by_scan, rid[0] >> 33)
                 mine = dict(zip(own.column("_sx_rid").to_pylist(), own.column("_sx_spans").to_pylist())) if own else {}
             kept, runs = [], []
             for r, text in zip(rid, pick(batch, text_col).cast(pa.binary()).to_pylist()):

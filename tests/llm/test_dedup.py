@@ -179,3 +179,29 @@ def test_stages_keep_the_right_rows_though_executors_come_and_go(scans, stage):
     cores(7)  # the texts are scanned again only now
     kept = out.collect()
     assert Counter(r.text for r in kept) == Counter({t for _, t, *_ in rows}) and {r.doc_id for r in kept} == set(range(40))
+
+
+@pytest.mark.parametrize("length", [8, 24, 40])
+def test_interleave_of_shards_equals_one_sort_of_all(length, monkeypatch):
+    rng = np.random.default_rng(length)
+    rows = sorted((int(rng.integers(3)), int(rng.integers(6)), bytes(rng.integers(97, 99, length - 4).astype(np.uint8)) + bytes(rng.integers(97, 99, 4).astype(np.uint8))) for _ in range(700))
+    block, shard = (np.array([r[k] for r in rows]) for k in (0, 1))
+    text = np.array([np.frombuffer(r[2], np.uint8) for r in rows])
+    lcp = np.zeros(len(rows), np.int64)
+    inside = np.flatnonzero((block[1:] == block[:-1]) & (shard[1:] == shard[:-1])) + 1
+    lcp[inside] = suffix.shared_bytes(text[inside], text[inside - 1])
+    order, common = suffix.interleave(block, shard, lcp, np.ascontiguousarray(text).view(">u8").astype(np.uint64))
+    want = sorted(range(len(rows)), key=lambda i: (rows[i][0], rows[i][2], rows[i][1], i))
+    assert order.tolist() == want
+    for k in range(1, len(rows)):
+        a, b = rows[want[k - 1]], rows[want[k]]
+        assert common[k] == (next((i for i in range(length) if a[2][i] != b[2][i]), length) if a[0] == b[0] else 0)
+
+
+def test_suffix_many_shards_and_few_rows_at_once(table, monkeypatch):
+    monkeypatch.setattr(suffix, "SLICE_BYTES", 300)
+    monkeypatch.setattr(suffix, "MERGE_ROWS", 5)
+    texts = [prose(30, i % 7) + " " + prose(20, i % 5) + prose(10, i) for i in range(60)]
+    docs = table([(i, t) for i, t in enumerate(texts)], "doc_id long, text string", 5)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.digest(docs).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 200)))
