@@ -10,7 +10,7 @@ from pagemill.operators import induce as I
 from pagemill.operators.clean import clean_nodes
 from pagemill.operators.nodes import node_table
 from pagemill.plans.queries import register
-from pagemill.plans.queries_presets import site_presets
+from pagemill.plans.queries_presets import HEADING_SQL as _H1, site_presets
 from pagemill.plans.queries_reader import GATE_SQL
 from pagemill.session import checkpoint_dir, cut
 from pagemill.sources.pages import parse_presets, read_page_json, read_pages, validate_pages, write_markdown, write_snapshots
@@ -204,6 +204,33 @@ def t1_stream_serve(spark, sf_dir):
     return done.unionByName(spark.read.parquet(f"{base}/out/queue").select("page_id", F.lit("queue").alias("kind"), F.lit(None).cast("string").alias("status")))
 
 
+@register("t1_stream_generate", rf"""
+WITH p AS (
+  SELECT page_id, html, page_id % 2 AS part, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)', 1)) AS host FROM pages
+), n AS (
+  SELECT host, count(*) FILTER (WHERE part = 0) AS early, count(*) AS every FROM p GROUP BY host
+)
+SELECT page_id, CASE WHEN early >= 3 THEN part WHEN every >= 3 THEN 1 END AS served_in,
+       CASE WHEN every >= 3 THEN {_H1} END AS heading
+FROM p JOIN n USING (host)
+""")
+def t1_stream_generate(spark, sf_dir):
+    """No presets at all: pages with even numbers arrive first. A host with three
+    waiting pages gets presets; its later pages are served by them."""
+    import uuid
+
+    from pagemill.streaming.serve import serve
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/generate-{uuid.uuid4().hex}"
+    pages = read_pages(spark, sf_dir)
+    for part in (0, 1):  # two files, the stream takes the older one first
+        pages.where(F.col("page_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    serve(spark, f"{base}/in", None, f"{base}/out", f"{base}/ckpt", files_per_batch=1, enough=3).awaitTermination()
+    done = spark.read.parquet(f"{base}/out/extracts")
+    heading = F.regexp_extract("markdown", r"(?m)^(# .*)$", 1)
+    return pages.select("page_id").join(done.select("page_id", F.col("batch_id").cast("long").alias("served_in"), heading.alias("heading")), "page_id", "left")
+
+
 # ---- S2, S4, F11, F12 over the pages' URLs ----------------------------------
 
 @register("s2_presets", """

@@ -206,10 +206,10 @@ def _literal(spark, sf_dir):
 _ESC = r"regexp_replace({x}, '([\\*_`\[])', '\\\1', 'g')"
 
 
-@register("m4_headings", rf"""
-SELECT page_id, '# ' || {_ESC.format(x="regexp_replace(trim(" + _DEC.format(x="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + "), '\\s+', ' ', 'g')")} AS heading
-FROM pages
-""")
+HEADING_SQL = "'# ' || " + _ESC.format(x="regexp_replace(trim(" + _DEC.format(x="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + r"), '\s+', ' ', 'g')")
+
+
+@register("m4_headings", f"SELECT page_id, {HEADING_SQL} AS heading FROM pages")
 def m4_headings(spark, sf_dir):
     md = _literal(spark, sf_dir)
     lines = md.select("page_id", F.explode(F.split("markdown", "\n")).alias("heading"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import tempfile
 
@@ -84,10 +85,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df):
     """Materialise ``df`` into the shared checkpoint folder and return a
     DataFrame that reads it back: ends lineage (plan size, recovery after a
-    lost executor) for iterative and reused intermediate results."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    lost executor) for iterative and reused intermediate results. Within
+    ``scratch`` it is a Parquet folder, which goes when that ends."""
+    held = _scratch.get()
+    if held is None or any(f.dataType.typeName() == "void" for f in df.schema.fields):
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    import uuid
 
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut_{uuid.uuid4().hex}"
+    held.append((None, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of the bucketed tables that one bucket should hold, about.
@@ -95,7 +104,8 @@ BUCKET_BYTES = 256 << 20
 #: A page's node rows take about this many times its table's bytes.
 NODE_FACTOR = 8
 _BUCKETS = "spark.pagemill.buckets"
-_scratch: list[list[tuple[str, str]]] = []
+#: Tables and folders made within ``scratch``; each thread has its own, as a session's streams run side by side.
+_scratch: contextvars.ContextVar[list[tuple[str | None, str]] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def plan_buckets(pages) -> None:
@@ -128,20 +138,45 @@ def bucketed(df, key: str, prefix: str = "pagemill", buckets: int | None = None)
     name = f"{prefix}_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
-    if _scratch:
-        _scratch[-1].append((name, path))
+    held = _scratch.get()
+    if held is not None:
+        held.append((name, path))
     return spark.table(name)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Drops the bucketed tables made inside, with their files, at the end:
-    for work whose results are written before it ends, as a micro-batch's."""
-    _scratch.append([])
+    """Drops the tables and cuts made inside, with their files, at the end: for
+    work whose results are written before it ends, as a micro-batch's. The
+    number of buckets is that of this work, not of an earlier, larger one."""
+    token = _scratch.set([])
+    buckets = spark.conf.get(_BUCKETS, None)
+    spark.conf.unset(_BUCKETS)
     try:
         yield
     finally:
-        for name, path in _scratch.pop():
-            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        made = _scratch.get()
+        _scratch.reset(token)
+        if buckets is None:
+            spark.conf.unset(_BUCKETS)
+        else:
+            spark.conf.set(_BUCKETS, buckets)
+        for name, path in made:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            delete(spark, path)
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _folder(spark, path)
+    return store.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, where = _folder(spark, path)
+    store.delete(where, True)
