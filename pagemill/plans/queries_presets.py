@@ -12,7 +12,7 @@ from pagemill.functions import text as tx
 from pagemill.operators import presets as P
 from pagemill.operators.markdown import html_to_markdown, render
 from pagemill.operators.nodes import node_table
-from pagemill.operators.selectors import select
+from pagemill.operators.selectors import compile_selectors, select, select_nodes
 from pagemill.plans.queries import register
 from pagemill.sources.pages import read_pages
 
@@ -78,6 +78,42 @@ def p1_select(spark, sf_dir):
     return m.groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("hits"))
 
 
+#: Selectors with others inside and with positions; those of links also tell the first match's text.
+P1_RELATIONS = ["article:has(> p)", "body > :is(nav, footer) a", "li:eq(1) > a", "li:last a", "li:gt(2)", "li:not(:has(+ li))", "li:not(li + li) a", "p:first", "ul:has(> li ~ li)",
+                "nav:not(:has(article)) > ul:has(a) li:odd", "article:is(nav ~ *):has(h1 + p)", "li:has(ul)"]
+
+
+@register("p1_relations", rf"""
+WITH p AS (
+  SELECT page_id, len(regexp_extract_all({_ART}, '<p\b')) AS p, regexp_matches(html, '(?s)</h1><p') AS h1p,
+         regexp_extract_all({_NAV}, '<a href="[^"]*">([^<]*)</a>', 1) AS a FROM pages
+), c AS (
+  SELECT page_id, 'article:has(> p)' AS selector, CAST(p > 0 AS INTEGER) AS hits, NULL AS text FROM p
+  UNION ALL SELECT page_id, 'body > :is(nav, footer) a', len(a), a[1] FROM p
+  UNION ALL SELECT page_id, 'li:eq(1) > a', CAST(len(a) > 1 AS INTEGER), a[2] FROM p
+  UNION ALL SELECT page_id, 'li:last a', CAST(len(a) > 0 AS INTEGER), a[-1] FROM p
+  UNION ALL SELECT page_id, 'li:gt(2)', greatest(len(a) - 3, 0), NULL FROM p
+  UNION ALL SELECT page_id, 'li:not(:has(+ li))', CAST(len(a) > 0 AS INTEGER), NULL FROM p
+  UNION ALL SELECT page_id, 'li:not(li + li) a', CAST(len(a) > 0 AS INTEGER), a[1] FROM p
+  UNION ALL SELECT page_id, 'p:first', CAST(p > 0 AS INTEGER), NULL FROM p
+  UNION ALL SELECT page_id, 'ul:has(> li ~ li)', CAST(len(a) > 1 AS INTEGER), NULL FROM p
+  UNION ALL SELECT page_id, 'nav:not(:has(article)) > ul:has(a) li:odd', len(a) // 2, NULL FROM p
+  UNION ALL SELECT page_id, 'article:is(nav ~ *):has(h1 + p)', CAST(h1p AS INTEGER), NULL FROM p
+)
+SELECT page_id, selector, CAST(hits AS BIGINT) AS hits, {_DEC.format(x='text')} AS text FROM c WHERE hits > 0
+""")
+def p1_relations(spark, sf_dir):
+    """Selectors as presets use them: demanded for each page."""
+    pages = read_pages(spark, sf_dir)
+    nodes = node_table(pages)
+    demand = pages.select("page_id", F.explode(F.array(*[F.lit(x) for x in P1_RELATIONS])).alias("selector"))
+    steps, _ = compile_selectors(demand.select("selector"))
+    m = select_nodes(nodes, steps, demand=demand).groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("hits"), F.min("pre").alias("parent"))
+    texts = nodes.where("kind = 'text'").groupBy("page_id", "parent").agg(F.min_by("text", "pre").alias("text"))
+    told = F.when(F.col("selector").rlike(r"\ba$"), F.col("text"))
+    return m.join(texts, ["page_id", "parent"], "left").select("page_id", "selector", "hits", told.alias("text"))
+
+
 # ---- P3 ---------------------------------------------------------------------
 
 @register("p3_critical", rf"""
