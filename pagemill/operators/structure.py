@@ -124,3 +124,26 @@ def open_counts(nodes: DataFrame, marks: dict, key_cols=("page_id",)) -> DataFra
             cnt = cnt - F.when(F.col(f"_m{i}"), 1).otherwise(0)
         e = e.withColumn(name, cnt)
     return e.where(F.col("_e._node")).drop("_e", *[f"_m{i}" for i in range(len(names))])
+
+
+def subtree_sums(nodes: DataFrame, measures: dict, key_cols=("page_id",)) -> DataFrame:
+    """(keys..., pre, one column per measure): of every element the sums over its
+    subtree, itself included, of a whole number that each node has.
+
+    An element's own row emits events before and behind its subtree; the
+    running sums at both differ by the subtree's. One window, no exchange on
+    a table that is partitioned by the keys.
+    """
+    keys, names = _keys(key_cols), list(measures)
+    zero = [F.lit(0).cast("long").alias(c) for c in names]
+
+    def event(pos, side, values):
+        return F.struct(pos.cast("double").alias("_pos"), F.lit(side).alias("_side"), *values)
+
+    own = event(F.col("pre"), 0, [F.coalesce(measures[c], F.lit(0)).cast("long").alias(c) for c in names])
+    ends = [event(F.col("pre") - F.lit(0.5), 1, zero), event(F.col("pre_end") + F.lit(0.5), 2, zero)]
+    e = nodes.select(*keys, "pre", F.explode(F.when(F.col("kind") == "element", F.array(ends[0], own, ends[1])).otherwise(F.array(own))).alias("_e"))
+    w = Window.partitionBy(*keys).orderBy("_e._pos").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.select(*keys, "pre", "_e._side", *[F.sum(f"_e.{c}").over(w).alias(c) for c in names]).where("_side > 0")
+    at = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
+    return e.groupBy(*keys, "pre").agg(*[(at(2, c) - at(1, c)).alias(c) for c in names])

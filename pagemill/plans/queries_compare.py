@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.operators import compare as K
 from pagemill.operators import induce as I
+from pagemill.operators import pagelets as L
 from pagemill.operators.clean import clean_nodes
 from pagemill.operators.nodes import node_table
 from pagemill.plans.queries import register
@@ -185,6 +186,39 @@ def i3_i6_induction(spark, sf_dir):
     return I.final_presets(att).select("host", "round", "accepted", "pages", "ok_pages", "problems", "md_pages")
 
 
+_ADX = """regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)"""
+_NAVX, _ARTX = (f"regexp_extract(html, '(?s)<{t}>(.*?)</{t}>', 1)" for t in ("nav", "article"))
+
+
+def _said(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '[\s\x{{A0}}]+', ' ', 'g'))"
+
+
+@register("i2_pagelets", rf"""
+WITH p AS (
+  SELECT page_id, html, {_HOST} AS host, CAST(len(regexp_extract_all({_NAVX}, '<a href=')) AS BIGINT) AS links FROM pages
+), l AS (
+  SELECT page_id, host, 'ul' AS selector, links, {_said(_NAVX)} AS said FROM p WHERE links >= 3
+  UNION ALL SELECT page_id, host, 'div.ad', 0, {_said(_ADX)} FROM p WHERE links >= 3
+  UNION ALL SELECT page_id, host, 'article', 0, {_said(_ARTX)} FROM p WHERE links >= 3
+  UNION ALL SELECT page_id, host, 'footer', 0, {_said("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} FROM p WHERE links >= 3
+  UNION ALL SELECT page_id, host, 'body', links, {_said("regexp_extract(html, '(?s)<body>(.*)</body>', 1)")} FROM p WHERE links < 3
+)
+SELECT page_id, host, selector, links, CASE WHEN said = '' THEN 0 ELSE len(string_split(said, ' ')) END AS words FROM l
+""")
+def i2_pagelets(spark, sf_dir):
+    """Every page's pagelets with what they link and say."""
+    pages = read_pages(spark, sf_dir)
+    return L.sketched_pagelets(node_table(pages), pages).select("page_id", "host", "selector", "links", "words")
+
+
+@register("i2_templates")
+def i2_templates(spark, sf_dir):
+    """Pagelets that several pages of a host share, by sketch (no SQL: a sketch also joins texts that differ a little)."""
+    pages = read_pages(spark, sf_dir)
+    return L.templates(cut(L.sketched_pagelets(node_table(pages), pages)), least=2)
+
+
 @register("t1_stream_serve", """
 SELECT page_id, CASE WHEN page_id % 7 = 3 THEN 'queue' ELSE 'extract' END AS kind, CASE WHEN page_id % 7 <> 3 THEN 'ok' END AS status FROM pages
 """)
