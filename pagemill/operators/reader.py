@@ -8,11 +8,16 @@ in document order: the subtree of ``e`` is the pre range
 * R2 "is it readable": for ``p``, ``pre`` and ``article`` elements whose
   trimmed text has at least 140 characters add ``sqrt(len - 140)``; the page
   is readable when the sum exceeds 20 (the published readerability check).
-* R3 main container: among block containers with paragraph text, the one
-  maximising ``p_chars * p_chars / text_chars`` (paragraph text, discounted by
-  everything else in the subtree: navigation, links, boilerplate), in the
-  spirit of composite text density (Sun et al., SIGIR 2011). Not
+* R3 content blocks: composite text density (Sun et al., SIGIR 2011) over the
+  paragraphs' text outside links. An element's density is its text by block
+  tag, weighted down by the links in it; the sum of its children's densities
+  tells where text stands side by side. The least density on the way from the
+  element with the greatest sum up to ``body`` is the page's threshold, and of
+  every element that reaches it the densest part is content: an article in
+  several boxes comes out whole, a list of links between them does not. Not
   score-identical to the library the reference calls.
+  ``choose_container`` is the single best container, by
+  ``p_chars * p_chars / text_chars``.
 * R4 metadata from head elements; R5 status envelope.
 """
 
@@ -24,10 +29,13 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import utf16_len
 from pagemill.operators.markdown import render
 from pagemill.operators.nodes import NODE_COLUMNS, attr, node_table
-from pagemill.operators.structure import open_counts
+from pagemill.operators.structure import inside_marked, open_counts, subtree_sums
+from pagemill.session import cut
 
 MIN_CONTENT_LENGTH = 140
 MIN_SCORE = 20.0
+#: Content blocks with less paragraph text than this are left out.
+MIN_BLOCK_CHARS = 25
 READABLE_TAGS = ["p", "pre", "article"]
 CONTAINER_TAGS = ["article", "main", "section", "div", "body", "td", "blockquote"]
 SKIP_TAGS = ["script", "style", "noscript", "template", "head"]
@@ -123,6 +131,71 @@ def choose_container(el: DataFrame) -> DataFrame:
             .select("page_id", "pre", "pre_end", "tag", "text_chars", "link_chars", "p_chars"))
 
 
+#: Tags that text is counted by.
+DENSITY_TAGS = [*CONTAINER_TAGS, "p", "pre", "ul", "ol", "dl", "li", "dt", "dd", "table", "tr", "nav", "header", "footer", "aside", "form", "figure", "h1", "h2", "h3", "h4", "h5", "h6"]
+
+
+def densities(nodes: DataFrame) -> DataFrame:
+    """Of every element in ``body`` the sums over its subtree, ``density`` and
+    ``density_sum`` (of its children's densities).
+
+    With C the characters of paragraphs outside links, T the block tags, L the
+    characters and A the tags of links (each 1 at least where it divides), and
+    r the page's share of link text, the density is C / T times the logarithm of
+    C / L * T / A to the base ln(C / (C - L) * L + r * C + e).
+    """
+    is_el = F.col("kind") == "element"
+    n = open_counts(nodes, {"_skip": (is_el & F.col("tag").isin(SKIP_TAGS), False), "_a": (is_el & (F.col("tag") == "a"), False),
+                            "_p": (is_el & F.col("tag").isin("p", "pre"), False), "_b": (is_el & (F.col("tag") == "body"), False)})
+    n = n.where((F.col("_skip") == 0) & (F.col("_b") > 0))
+    size, in_a = F.when(F.col("kind") == "text", utf16_len("text")), F.col("_a") > 0
+    sums = subtree_sums(n, {
+        "text_chars": size, "link_chars": F.when(in_a, size), "p_chars": F.when(F.col("_p") > 0, size), "para": F.when((F.col("_p") > 0) & ~in_a, size),
+        "blocks": F.when(is_el & F.col("tag").isin(DENSITY_TAGS), 1), "links": F.when(is_el & (F.col("tag") == "a"), 1), "elements": F.when(is_el, 1)})
+    el = n.where(is_el).select("page_id", "pre", "pre_end", "parent", "tag").join(sums, ["page_id", "pre"])
+    of_body = F.when(F.col("tag") == "body", F.col("link_chars") / F.greatest("text_chars", F.lit(1)))
+    one = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
+    c, t, li, a = one("para"), one("blocks"), one("link_chars"), one("links")
+    ratio = F.max(of_body).over(Window.partitionBy("page_id"))
+    base = F.log(c / F.greatest(c - li, F.lit(1.0)) * li + ratio * c + F.lit(2.718281828459045))
+    weight = F.log(F.greatest(c / li * t / a, F.lit(1.0))) / F.log(base)
+    el = el.withColumn("density", F.when(F.col("para") > 0, c / t * weight).otherwise(F.lit(0.0)))
+    total = el.groupBy("page_id", F.col("parent").alias("pre")).agg(F.sum("density").alias("density_sum"))
+    return el.join(total, ["page_id", "pre"], "left").withColumn("density_sum", F.coalesce("density_sum", F.lit(0.0)))
+
+
+def content_blocks(el: DataFrame) -> DataFrame:
+    """The maximal content blocks of each page, from ``densities``.
+
+    The element with the greatest sum in a subtree is a maximum over a stretch of
+    the elements in document order. Maxima of 1, 2, 4, ... neighbours, each from
+    two of the last, give any stretch by two that overlap: as many window
+    functions as an element count has binary digits, no pairs of elements.
+    """
+    order = Window.partitionBy("page_id").orderBy("pre")
+    e = el.withColumn("idx", F.row_number().over(order) - 1)
+    top = F.min_by(F.struct("pre", "pre_end"), F.struct(-F.col("density_sum"), "pre"))
+    best = e.groupBy("page_id").agg(top.alias("_top"), F.max("density_sum").alias("_sum")).where("_sum > 0")
+    e = e.join(best.select("page_id", F.col("_top.pre").alias("_m")), "page_id")
+    on_path = (F.col("pre") <= F.col("_m")) & (F.col("pre_end") >= F.col("_m"))
+    e = e.withColumn("_least", F.min(F.when(on_path, F.col("density"))).over(Window.partitionBy("page_id")))
+    e = cut(e.withColumn("_m0", F.struct(F.col("density_sum").alias("s"), (-F.col("idx")).alias("i"))))
+    most = e.agg(F.max("elements")).first()[0] or 1  # one number
+    levels = max(1, int(most).bit_length())
+    for k in range(1, levels):
+        other = F.lead(f"_m{k - 1}", 1 << (k - 1)).over(order)
+        e = e.withColumn(f"_m{k}", F.when(other.isNotNull() & (other > F.col(f"_m{k - 1}")), other).otherwise(F.col(f"_m{k - 1}")))
+    e = e.withColumn("_all", F.array(*[f"_m{k}" for k in range(levels)])).drop(*[f"_m{k}" for k in range(levels)])
+    level = F.floor(F.log2(F.col("elements").cast("double"))).cast("int")
+    dense = e.where((F.col("density") >= F.col("_least")) & (F.col("density") > 0)).select(
+        "page_id", F.get("_all", level).alias("_one"), level.alias("_k"), (F.col("idx") + F.col("elements") - F.pow(F.lit(2.0), level)).cast("int").alias("idx"))
+    dense = dense.join(e.select("page_id", "idx", "_all"), ["page_id", "idx"]).withColumn("_two", F.get("_all", F.col("_k")))
+    marked = dense.select("page_id", (-F.greatest("_one", "_two")["i"]).alias("idx")).distinct()
+    kept = e.join(marked, ["page_id", "idx"]).drop("_all")
+    return kept.withColumn("_in", inside_marked(F.lit(True), strict=True)).where(~F.col("_in") & (F.col("para") >= MIN_BLOCK_CHARS)).select(
+        "page_id", "pre", "pre_end", "tag", "text_chars", "link_chars", "p_chars", "density")
+
+
 def metadata(nodes: DataFrame) -> DataFrame:
     """Title, lang, dir, byline, siteName, publishedTime, excerpt from head
     elements; of several, the first in the document."""
@@ -150,7 +223,7 @@ def metadata(nodes: DataFrame) -> DataFrame:
 
 
 def first_paragraph(nodes: DataFrame, el: DataFrame, best: DataFrame) -> DataFrame:
-    """(page_id, first_p): trimmed text of the first non-blank ``p`` of the container."""
+    """(page_id, first_p): trimmed text of the first non-blank ``p`` of the content."""
     held = el.where((F.col("tag") == "p") & (F.col("text_chars") > 0)).join(best.select("page_id", F.col("pre").alias("r_pre"), F.col("pre_end").alias("r_end")), "page_id")
     p = (held.where((F.col("pre") > F.col("r_pre")) & (F.col("pre") <= F.col("r_end")))
          .groupBy("page_id").agg(F.min(F.struct("pre", "pre_end")).alias("p")))
@@ -164,15 +237,16 @@ def reader_mode(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     byline, siteName, lang, publishedTime, dir>)``."""
     nodes = nodes if nodes is not None else node_table(pages)
     blank = pages.select("page_id", (F.col("html").isNull() | (F.length(F.trim("html")) == 0)).alias("blank"))
-    el = element_text(nodes)
-    best = choose_container(el)
+    el = cut(densities(nodes))
+    best = cut(content_blocks(el))
     readable = readable_score(nodes)
-    span = best.select("page_id", F.col("pre").alias("r_pre"), F.col("pre_end").alias("r_end"))
-    sub = nodes.join(span, "page_id").where(F.col("pre").between(F.col("r_pre"), F.col("r_end"))).select("page_id", *NODE_COLUMNS)
+    marks = best.select("page_id", "pre", F.lit(True).alias("_block"))
+    sub = (nodes.join(marks, ["page_id", "pre"], "left").withColumn("_in", inside_marked(F.coalesce("_block", F.lit(False))))
+           .where("_in").select("page_id", *NODE_COLUMNS))
     md = render(sub, ("page_id",))
     meta = metadata(nodes)
     failed = nodes.where(F.col("kind") == "error").select("page_id", F.lit(True).alias("unparsed")).distinct()
-    out = (blank.join(readable, "page_id", "left").join(best.select("page_id", F.col("text_chars").alias("_content_len")), "page_id", "left")
+    out = (blank.join(readable, "page_id", "left").join(best.groupBy("page_id").agg(F.sum("text_chars").alias("_content_len")), "page_id", "left")
            .join(md, "page_id", "left").join(meta, "page_id", "left").join(failed, "page_id", "left")
            .join(first_paragraph(nodes, el, best), "page_id", "left"))
     status = (F.when(F.col("blank"), F.lit("not_applicable"))
