@@ -8,6 +8,9 @@ in document order: the subtree of ``e`` is the pre range
 * R2 "is it readable": for ``p``, ``pre`` and ``article`` elements whose
   trimmed text has at least 140 characters add ``sqrt(len - 140)``; the page
   is readable when the sum exceeds 20 (the published readerability check).
+  ``classified_blocks`` tells for every stretch of text between block tags whether
+  it is content, by the decision rule on words and link density of a block and
+  its two neighbours that Kohlschuetter et al. published (WSDM 2010).
 * R3 content blocks: composite text density (Sun et al., SIGIR 2011) over the
   paragraphs' text outside links. An element's density is its text by block
   tag, weighted down by the links in it; the sum of its children's densities
@@ -131,6 +134,46 @@ def choose_container(el: DataFrame) -> DataFrame:
             .select("page_id", "pre", "pre_end", "tag", "text_chars", "link_chars", "p_chars"))
 
 
+#: Tags that end a stretch of text.
+BREAK_TAGS = ["address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+              "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"]
+
+
+def text_blocks(nodes: DataFrame) -> DataFrame:
+    """R2: (page_id, n, pre, words, link_words): the stretches of text between block
+    tags that hold a word, numbered from 1 in document order."""
+    is_el, is_text = F.col("kind") == "element", F.col("kind") == "text"
+    n = open_counts(nodes, {"_skip": (is_el & F.col("tag").isin(SKIP_TAGS), False), "_a": (is_el & (F.col("tag") == "a"), False)})
+    edge = lambda pos: F.struct(pos.cast("double").alias("_pos"), F.lit(1).alias("_edge"))
+    own = F.struct(F.col("pre").cast("double").alias("_pos"), F.lit(0).alias("_edge"))
+    breaks = is_el & F.col("tag").isin(BREAK_TAGS)
+    br = is_el & (F.col("tag") == "br")  # a blank within a block
+    n = n.where((F.col("_skip") == 0) & (is_text | breaks | br)).withColumn("text", F.when(br, F.lit("\n")).otherwise(F.col("text")))
+    e = n.select("page_id", "pre", "text", "_a", F.explode(F.when(breaks, F.array(edge(F.col("pre")), edge(F.col("pre_end") + F.lit(0.5)))).otherwise(F.array(own))).alias("_e"))
+    order = Window.partitionBy("page_id").orderBy("_e._pos").rangeBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("_no", F.sum("_e._edge").over(order)).where("_e._edge = 0")
+    # one block's text nodes may meet within a word
+    words = F.size(F.filter(F.split(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), ""), r"[\s\u00a0]+"), lambda w: w != ""))
+    of_links = F.sum(F.when(F.col("_a") > 0, F.size(F.filter(F.split("text", r"[\s\u00a0]+"), lambda w: w != ""))).otherwise(0))
+    b = e.groupBy("page_id", "_no").agg(F.min("pre").alias("pre"), words.cast("long").alias("words"), of_links.alias("link_words")).where("words > 0")
+    return b.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))).select("page_id", "n", "pre", "words", F.least("link_words", "words").alias("link_words"))
+
+
+def classified_blocks(nodes: DataFrame) -> DataFrame:
+    """R2: ``text_blocks`` with ``link_density`` and ``content``. Before the first and
+    behind the last block there is one without words."""
+    order = Window.partitionBy("page_id").orderBy("n")
+    b = text_blocks(nodes).withColumn("link_density", F.col("link_words") / F.col("words"))
+    before, behind = F.lag("words", 1, 0).over(order), F.lead("words", 1, 0).over(order)
+    b = b.withColumns({"_prev": before, "_next": behind, "_plinks": F.lag("link_density", 1, 0.0).over(order)})
+    # fixed values of the published rule
+    few = F.when(F.col("_next") > 15, F.lit(True)).otherwise(F.col("_prev") > 4)
+    after_text = F.when(F.col("words") > 16, F.lit(True)).otherwise(few)
+    after_links = (F.col("words") > 40) | (F.col("_next") > 17)
+    rule = F.when(F.col("link_density") > 0.333333, F.lit(False)).when(F.col("_plinks") <= 0.555556, after_text).otherwise(after_links)
+    return b.withColumn("content", rule).drop("_prev", "_next", "_plinks")
+
+
 #: Tags that text is counted by.
 DENSITY_TAGS = [*CONTAINER_TAGS, "p", "pre", "ul", "ol", "dl", "li", "dt", "dd", "table", "tr", "nav", "header", "footer", "aside", "form", "figure", "h1", "h2", "h3", "h4", "h5", "h6"]
 

@@ -97,3 +97,20 @@ def test_an_article_in_two_boxes_comes_out_whole_and_without_the_links_between(s
     assert "another story" not in text and "Owner" not in text
     assert got[0]["meta"]["excerpt"].startswith("Sentence number 1") and got[0]["meta"]["length"] == 5 * len("Sentence number 1 says a little more. " * 8)
     assert got[1]["status"] == got[2]["status"] == "not_applicable" and got[1]["markdown"] is None
+
+
+def test_blocks_of_text_and_their_neighbours(spark):
+    long = "word " * 45
+    html = [
+        "<nav><a>one two</a> <a>three</a></nav><h1>A title of six words here</h1><p>" + long + "</p><p>few</p><p>" + "w " * 20 + "</p><p>short one</p><div>a <b>b</b>c<br>d <a>e f g</a></div>",
+        "<ul><li><a>x y</a></li><li>plain</li></ul>" + "<p>" + "w " * 18 + "</p><p>" + "w " * 10 + "</p><script>no no no</script> \u00a0 <p>end</p>",
+        "", "<p> </p>",
+    ]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    got = defaultdict(list)
+    for r in R.classified_blocks(parse_pages(pages)).orderBy("page_id", "n").collect():
+        got[r["page_id"]].append((r["n"], r["words"], r["link_words"], r["content"]))
+    assert got == {
+        0: [(1, 3, 3, False), (2, 6, 0, True), (3, 45, 0, True), (4, 1, 0, True), (5, 20, 0, True), (6, 2, 0, True), (7, 6, 3, False)],
+        1: [(1, 2, 2, False), (2, 1, 0, True), (3, 18, 0, True), (4, 10, 0, True), (5, 1, 0, True)],
+    }
