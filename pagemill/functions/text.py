@@ -109,8 +109,72 @@ def join_nonempty(sep: str, *cols) -> Column:
     return F.concat_ws(sep, *[F.nullif(_c(x), F.lit("")) for x in cols])
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 # ---- URLs ---------------------------------------------------------------
 
+def _adapt(delta: Column, points: Column, first: Column) -> Column:
+    """The bias after a code point (bias adaptation of RFC 3492)."""
+    d = F.floor(delta / F.when(first, F.lit(700)).otherwise(F.lit(2)))
+    d = d + F.floor(d / points)
+    start = F.struct(d.alias("d"), F.lit(0).cast("long").alias("k"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, lambda s, _: F.when(s["d"] > 455, F.struct(F.floor(s["d"] / 35).alias("d"), (s["k"] + 36).alias("k"))).otherwise(s))
+    return let(end, lambda e: e["k"] + F.floor(36 * e["d"] / (e["d"] + 38)))
+
+
+def _digits(delta: Column, bias: Column) -> Column:
+    """A number as digits of variable length (RFC 3492)."""
+    digit = lambda x: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz0123456789"), (x + 1).cast("int"), F.lit(1))
+
+    def step(s, i):
+        t = F.least(F.greatest(36 * i - bias, F.lit(1)), F.lit(26))
+        more = F.struct(F.floor((s["q"] - t) / (36 - t)).alias("q"), F.lit(False).alias("done"), F.concat(s["out"], digit(t + (s["q"] - t) % (36 - t))).alias("out"))
+        last = F.struct(s["q"].alias("q"), F.lit(True).alias("done"), F.concat(s["out"], digit(s["q"])).alias("out"))
+        return F.when(s["done"], s).when(s["q"] < t, last).otherwise(more)
+
+    start = F.struct(delta.alias("q"), F.lit(False).alias("done"), F.lit("").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(14).cast("long")), start, step)["out"]
+
+
+def punycode(label: Column) -> Column:
+    """RFC 3492, as folds over a label's code points: those beyond ASCII in their
+    order, and for each the label's."""
+    points = F.transform(F.split(label, ""), lambda c: F.ascii(c).cast("long"))
+
+    def encode(cps):
+        basic = F.array_join(F.transform(F.filter(cps, lambda c: c < 128), lambda c: F.char(c)), "")
+        b = F.length(basic).cast("long")
+        zero = F.lit(0).cast("long")
+        start = F.struct(F.lit(128).cast("long").alias("n"), zero.alias("delta"), F.lit(72).cast("long").alias("bias"), b.alias("h"), F.when(b > 0, F.concat(basic, F.lit("-"))).otherwise(F.lit("")).alias("out"))
+
+        def point(s, c):
+            below = F.struct(s["n"].alias("n"), (s["delta"] + 1).alias("delta"), s["bias"].alias("bias"), s["h"].alias("h"), s["out"].alias("out"))
+            here = F.struct(s["n"].alias("n"), zero.alias("delta"), _adapt(s["delta"], s["h"] + 1, s["h"] == b).alias("bias"), (s["h"] + 1).alias("h"),
+                            F.concat(s["out"], _digits(s["delta"], s["bias"])).alias("out"))
+            return F.when(c < s["n"], below).when(c == s["n"], here).otherwise(s)
+
+        def least(s, m):
+            at = F.struct(m.alias("n"), (s["delta"] + (m - s["n"]) * (s["h"] + 1)).alias("delta"), s["bias"].alias("bias"), s["h"].alias("h"), s["out"].alias("out"))
+            return let(F.aggregate(cps, at, point), lambda e: F.struct((e["n"] + 1).alias("n"), (e["delta"] + 1).alias("delta"), e["bias"].alias("bias"), e["h"].alias("h"), e["out"].alias("out")))
+
+        return F.aggregate(F.array_sort(F.array_distinct(F.filter(cps, lambda c: c >= 128))), start, least)["out"]
+
+    return let(points, encode)
+
+
+def canonical_host(host: Column) -> Column:
+    """A host as URLs hold it: percent-decoded, lower-cased, labels beyond ASCII in
+    punycode, the ideographic full stops as dots. Not done: mapping by the
+    Unicode tables beyond lower case, and numbers as IPv4 addresses."""
+    plain = F.when(host.contains("%"), F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)).otherwise(host)
+    ascii_ = lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.concat(F.lit("xn--"), punycode(x))).otherwise(x)
+    spelled = lambda h: F.when(h.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(h, "[.\u3002\uff0e\uff61]"), ascii_), ".")).otherwise(h)
+    return let(F.lower(plain), spelled)
+
+
 def url_host(col) -> Column:
     return F.lower(F.try_parse_url(_c(col), F.lit("HOST")))
 

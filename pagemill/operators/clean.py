@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.identifiers import is_gibberish
-from pagemill.functions.text import truncate_attr, truncate_text, utf16_len
+from pagemill.functions.text import canonical_host, let, truncate_attr, truncate_text, utf16_len
 from pagemill.operators.nodes import NODE_COLUMNS, ATTR_TYPE, node_table, serialize
 from pagemill.session import bucketed
 from pagemill.operators.structure import inside_marked, subtree_has, tighten_ends
@@ -143,24 +143,37 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(?:^|/)(?:\.|(?i)%2e){1,2}(?:/|$)"), joined).otherwise(path)
 
 
-def same_host_relative(value: Column, base_url: Column) -> Column:
+def _bare_host(host: Column) -> Column:
+    return canonical_host(F.regexp_replace(host, r":\d*$", ""))
+
+
+def page_host(base_url: Column) -> Column:
+    """The canonical host of a page's URL; null where it has none."""
+    return F.when(F.regexp_extract(base_url, _URL_RX, 1) != "", F.nullif(_bare_host(F.regexp_extract(base_url, _URL_RX, 2)), F.lit("")))
+
+
+def same_host_relative(value: Column, base_url: Column, base_host: Column | None = None) -> Column:
     """C8 for one value: absolute (http(s) or protocol-relative) URLs whose
     hostname equals the page's become ``path + ?query + #hash`` (``/`` when
     all are empty), dot segments resolved and illegal characters percent
-    encoded; anything else, or anything unparsable, is unchanged."""
+    encoded; anything else, or anything unparsable, is unchanged. Before the
+    query a backslash is a slash; hosts are compared in their canonical form."""
+    base_host = page_host(base_url) if base_host is None else base_host
     tidy = F.regexp_replace(F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    part = lambda k: F.regexp_extract(tidy, _URL_RX, k)
-    host = F.lower(F.regexp_replace(part(2), r":\d*$", ""))
-    base_host = F.lower(F.try_parse_url(base_url, F.lit("HOST")))
-    path = _percent(_without_dots(F.replace(part(3), F.lit("\\"), F.lit("/"))), "path")
-    query, ref = _percent(part(4), "query"), _percent(part(5), "hash")
-    rel = F.concat(
-        F.when(path == "", F.lit("/")).otherwise(path),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-        F.when(ref != "", F.concat(F.lit("#"), ref)).otherwise(F.lit("")),
-    )
-    rewrite = tidy.rlike(ABSOLUTE_URL_RX) & (host != "") & base_host.isNotNull() & (host == base_host)
-    return F.when(F.coalesce(rewrite, F.lit(False)), rel).otherwise(value)
+    tidy = let(tidy, lambda v: let(F.regexp_extract(v, r"^[^?#]*", 0), lambda h: F.concat(F.replace(h, F.lit("\\"), F.lit("/")), F.substring(v, F.length(h) + 1, F.length(v)))))
+
+    def relative(t):
+        part = lambda k: F.regexp_extract(t, _URL_RX, k)
+        path = let(part(3), lambda x: _percent(_without_dots(x), "path"))
+        query, ref = let(part(4), lambda x: _percent(x, "query")), let(part(5), lambda x: _percent(x, "hash"))
+        rel = F.concat(
+            let(path, lambda x: F.when(x == "", F.lit("/")).otherwise(x)),
+            let(query, lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise(F.lit(""))),
+            let(ref, lambda x: F.when(x != "", F.concat(F.lit("#"), x)).otherwise(F.lit(""))))
+        return F.when(t.rlike(ABSOLUTE_URL_RX) & (_bare_host(part(2)) == base_host), rel).otherwise(value)
+
+    # no URL without two slashes names a host
+    return F.when(base_host.isNotNull() & value.rlike(r"[/\\][\t\n\r]*[/\\]"), let(tidy, relative)).otherwise(value)
 
 
 def rewrite_urls(nodes: DataFrame, page_urls: DataFrame) -> DataFrame:
@@ -170,12 +183,12 @@ def rewrite_urls(nodes: DataFrame, page_urls: DataFrame) -> DataFrame:
     page_id partitioning.
     """
     has_url = _is_el() & F.coalesce(F.exists("attrs", lambda a: a["name"].isin(URL_ATTRIBUTES)), F.lit(False))
-    j = nodes.join(page_urls.select("page_id", F.col("url").alias("_base")), "page_id", "left")
+    j = nodes.join(page_urls.select("page_id", F.col("url").alias("_base"), page_host(F.col("url")).alias("_host")), "page_id", "left")
     fixed = F.transform("attrs", lambda a: F.struct(
         a["name"].alias("name"),
         F.when(a["name"].isin(URL_ATTRIBUTES) & F.col("_base").isNotNull(),
-               same_host_relative(a["value"], F.col("_base"))).otherwise(a["value"]).alias("value")))
-    return j.withColumn("attrs", F.when(has_url, fixed).otherwise(F.col("attrs"))).drop("_base")
+               same_host_relative(a["value"], F.col("_base"), F.col("_host"))).otherwise(a["value"]).alias("value")))
+    return j.withColumn("attrs", F.when(has_url, fixed).otherwise(F.col("attrs"))).drop("_base", "_host")
 
 
 def truncate_attributes(nodes: DataFrame) -> DataFrame:

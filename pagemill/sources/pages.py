@@ -41,7 +41,8 @@ def read_page_json(spark: SparkSession, path: str) -> DataFrame:
     """Page snapshots written as JSON lines ``{url, html}`` (S6 output)."""
     schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
     df = spark.read.schema(schema).json(path)
-    return df.withColumn("page_id", F.xxhash64("url")).select("page_id", "url", "html")
+    # two captures of one address are two pages; the same capture twice is one
+    return df.withColumn("page_id", F.xxhash64("url", "html")).dropDuplicates(["page_id", "url"]).select("page_id", "url", "html")
 
 
 def validate_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -96,3 +96,38 @@ def test_links_in_a_page(spark, page, want):
 def test_cleaning_twice_changes_nothing(spark):
     once = clean_one(spark, "<div><p>a <b>b</b></p><!-- x --><br><span></span></div>")
     assert cleaned_html(pages_df(spark, [once])).collect()[0]["cleaned_html"] == once
+
+
+def test_punycode_is_that_of_the_codec(spark):
+    import random
+
+    from pagemill.functions.text import canonical_host, punycode
+
+    rng = random.Random(3)
+    labels = ["b\u00fccher", "\u4f8b\u3048", "a-\u00fc-b", "\U0001f600x", "\u0430\u0431\u0432", "\u00e9" * 30, "x" * 40 + "\u00df"]
+    labels += ["".join(rng.choice("abc-09\u00e4\u00f6\u0436\u4e2d\u6587\uac00\U00010330") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    labels = sorted({x for x in labels if not x.isascii()})
+    got = {r.l: r.p for r in spark.createDataFrame([(x,) for x in labels], "l string").select("l", punycode(F.col("l")).alias("p")).collect()}
+    assert got == {x: x.encode("punycode").decode() for x in labels}
+    hosts = {"B\u00dccher.Example": "xn--bcher-kva.example", "ex%41mple.com": "example.com", "m\u3002b\u00fccher\uff0ede": "m.xn--bcher-kva.de", "a.b": "a.b", "%zz": "%zz"}
+    assert {r.h: r.c for r in spark.createDataFrame([(x,) for x in hosts], "h string").select("h", canonical_host(F.col("h")).alias("c")).collect()} == hosts
+
+
+@pytest.mark.parametrize("base,link,want", [
+    ("http://e.com/p", "http://e.com\\a\\b?x=\\y", "/a/b?x=\\y"), ("http://e.com/p", "http:\\\\e.com\\a", "/a"), ("http://b\u00fccher.example/p", "https://xn--bcher-kva.example/x", "/x"),
+    ("http://xn--bcher-kva.example/p", "//B\u00dcCHER.example:80/x#y", "/x#y"), ("http://e.com/p", "http://%65.com/x", "/x"), ("http://e.com/p", "http://f.com\\a", "http://f.com\\a"), ("not a url", "http://e.com/x", "http://e.com/x"),
+])
+def test_links_whose_host_is_spelled_otherwise(spark, base, link, want):
+    from pagemill.operators.clean import same_host_relative
+
+    row = spark.createDataFrame([(base, link)], "base string, link string").select(same_host_relative(F.col("link"), F.col("base")).alias("out")).first()
+    assert row.out == want
+
+
+def test_two_captures_of_one_address_are_two_pages(spark, tmp_path):
+    from pagemill.sources.pages import read_page_json, write_snapshots
+
+    rows = [(1, "https://e.com/", "<p>a</p>"), (2, "https://e.com/", "<p>b</p>"), (3, "https://e.com/", "<p>a</p>"), (4, "https://f.com/", "<p>a</p>")]
+    write_snapshots(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "s"))
+    back = read_page_json(spark, str(tmp_path / "s")).collect()
+    assert len({r.page_id for r in back}) == len(back) == 3
