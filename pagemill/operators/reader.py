@@ -21,7 +21,8 @@ in document order: the subtree of ``e`` is the pre range
   score-identical to the library the reference calls.
   ``choose_container`` is the single best container, by
   ``p_chars * p_chars / text_chars``.
-* R4 metadata from head elements; R5 status envelope.
+* R4 metadata from JSON-LD, meta elements, item properties and titles, ranked;
+  R5 status envelope.
 """
 
 from __future__ import annotations
@@ -239,30 +240,131 @@ def content_blocks(el: DataFrame) -> DataFrame:
         "page_id", "pre", "pre_end", "tag", "text_chars", "link_chars", "p_chars", "density")
 
 
+#: Names of the vocabularies a field is read from, best first (fixed values).
+META_NAMES = {
+    "title": ["dc:title", "dcterm:title", "og:title", "weibo:article:title", "weibo:webpage:title", "title", "twitter:title"],
+    "byline": ["dc:creator", "dcterm:creator", "author", "parsely-author", "article:author"],
+    "excerpt": ["dc:description", "dcterm:description", "og:description", "weibo:article:description", "weibo:webpage:description", "description", "twitter:description"],
+    "siteName": ["og:site_name"],
+    "publishedTime": ["article:published_time", "parsely-pub-date", "date"],
+}
+ITEM_PROPS = {"title": "headline", "byline": "author", "excerpt": "description", "publishedTime": "datepublished"}
+#: Article and the types below it at schema.org (fixed values).
+ARTICLE_TYPES = ["Article", "AdvertiserContentArticle", "NewsArticle", "AnalysisNewsArticle", "AskPublicNewsArticle", "BackgroundNewsArticle", "OpinionNewsArticle",
+                 "ReportageNewsArticle", "ReviewNewsArticle", "Report", "SatiricalArticle", "ScholarlyArticle", "MedicalScholarlyArticle", "SocialMediaPosting",
+                 "BlogPosting", "LiveBlogPosting", "DiscussionForumPosting", "TechArticle", "APIReference"]
+#: Ranks of a field's sources; in between are the names above.
+RANK_STRUCTURED, RANK_ITEM, RANK_DOCUMENT, RANK_HEADING = 0, 100, 200, 300
+#: Words that a part of a document's title needs to stand alone.
+TITLE_WORDS = 3
+
+
+def _at(item, path: str):
+    """A JSON string, trimmed; null where there is another kind of value."""
+    v = F.try_variant_get(item, path, "variant")
+    text = F.trim(F.regexp_replace(F.try_variant_get(v, "$", "string"), r"[\s\u00a0]+", " "))
+    return F.when((F.schema_of_variant(v) == "STRING") & (text != ""), text)
+
+
+def _listed(item, path: str):
+    """A JSON list's values, or the value alone."""
+    v = F.try_variant_get(item, path, "variant")
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+
+
+def _names(item, path: str):
+    """The names of one or several people, given as strings or as objects."""
+    each = F.transform(_listed(item, path), lambda x: F.coalesce(_at(x, "$"), _at(x, "$.name")))
+    return F.nullif(F.array_join(each, ", "), F.lit(""))
+
+
+def structured_data(nodes: DataFrame) -> DataFrame:
+    """(page_id, pre, n, type, title, byline, siteName, publishedTime, excerpt):
+    the articles that JSON-LD scripts describe; ``n`` is the place in the script.
+    What is no JSON, of another vocabulary or of another type gives no row."""
+    script = (F.col("kind") == "element") & (F.col("tag") == "script") & (F.lower(F.trim(F.regexp_replace(attr("type"), ";.*", ""))) == "application/ld+json")
+    scripts = nodes.where(script).select("page_id", "pre")
+    texts = nodes.where("kind = 'text'").select("page_id", F.col("parent").alias("pre"), F.col("pre").alias("_at"), "text").join(scripts, ["page_id", "pre"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), "")
+    bare = F.regexp_replace(whole, r"^\s*<!\[CDATA\[|\]\]>\s*$", "")
+    v = texts.groupBy("page_id", "pre").agg(F.try_parse_json(bare).alias("_v")).where("_v IS NOT NULL")
+    tops = v.select("page_id", "pre", F.posexplode(_listed(F.col("_v"), "$")).alias("_i", "_top"))
+    graph = F.coalesce(F.try_variant_get("_top", "$['@graph']", "array<variant>"), F.array().cast("array<variant>"))
+    of_schema = F.to_json(F.try_variant_get("_top", "$['@context']", "variant")).rlike(r"https?:(\\?/){2}schema\.org")
+    items = tops.where(of_schema).select("page_id", "pre", "_i", F.posexplode(F.concat(F.array("_top"), graph)).alias("_j", "_x"))
+    x = F.col("_x")
+    kinds = F.transform(_listed(x, "$['@type']"), lambda t: F.regexp_replace(_at(t, "$"), r"^https?://schema\.org/", ""))
+    found = F.get(F.filter(kinds, lambda t: t.isin(ARTICLE_TYPES)), 0)
+    rows = items.withColumn("type", found).where("type IS NOT NULL").select(
+        "page_id", "pre", F.row_number().over(Window.partitionBy("page_id", "pre").orderBy("_i", "_j")).alias("n"), "type",
+        F.coalesce(_at(x, "$.headline"), _at(x, "$.name")).alias("title"), _names(x, "$.author").alias("byline"), _at(x, "$.publisher.name").alias("siteName"),
+        _at(x, "$.datePublished").alias("publishedTime"), _at(x, "$.description").alias("excerpt"))
+    return rows
+
+
+def title_part(title):
+    """A document's title without the site's name: of two parts the first, else the
+    second, that has ``TITLE_WORDS`` words; else, and with more separators, all."""
+    sep = r"\s[|\-\u2013\u2014\\/>\u00bb]\s"
+    parts = F.transform(F.split(title, sep), F.trim)
+    whole = F.filter(parts, lambda part: F.size(F.split(part, " ")) >= TITLE_WORDS)
+    return F.when(F.size(parts) == 2, F.coalesce(F.get(whole, 0), title)).otherwise(title)
+
+
 def metadata(nodes: DataFrame) -> DataFrame:
-    """Title, lang, dir, byline, siteName, publishedTime, excerpt from head
-    elements; of several, the first in the document."""
-    el = nodes.where(F.col("kind") == "element")
-    meta_name = F.lower(F.coalesce(attr("name"), attr("property")))
-    content = attr("content")
-    first_title = el.where(F.col("tag") == "title").groupBy("page_id").agg(F.min("pre").alias("tpre"))
-    title = (nodes.where(F.col("kind") == "text").join(first_title.withColumnRenamed("tpre", "parent"), ["page_id", "parent"])
-             .groupBy("page_id").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))),
-                                                                       lambda x: x["text"]), "")).alias("title")))
-
-    def first(where, value):
-        return F.min_by(value, F.when(where & value.isNotNull(), F.col("pre")))
-
-    html, meta = F.col("tag") == "html", F.col("tag") == "meta"
-    m = el.groupBy("page_id").agg(
-        first(html, attr("lang")).alias("lang"),
-        first(html, attr("dir")).alias("dir"),
-        first(meta & meta_name.isin("author", "article:author"), content).alias("byline"),
-        first(meta & (meta_name == "og:site_name"), content).alias("siteName"),
-        first(meta & meta_name.isin("article:published_time", "date"), content).alias("publishedTime"),
-        first(meta & meta_name.isin("description", "og:description"), content).alias("excerpt"),
-    )
-    return m.join(title, "page_id", "left")
+    """(page_id, lang, dir, title, byline, siteName, publishedTime, excerpt).
+
+    Every place that may tell a field is a row with its rank: JSON-LD, then meta
+    elements by the order of ``META_NAMES``, then item properties, then the
+    document's title without the site's name and the first ``h1``. One aggregate
+    takes the best, of equals the first in the document; blank values do not count.
+    """
+    is_el = F.col("kind") == "element"
+    el = nodes.where(is_el)
+    clean = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " ")), F.lit(""))
+
+    def place(field, rank, value):
+        return F.struct(F.lit(field).alias("field"), rank.cast("int").alias("rank"), clean(value).alias("value"))
+
+    def told(rows, places):
+        return rows.select("page_id", "pre", F.explode(F.array(*places)).alias("_p")).select("page_id", "pre", "_p.*").where("rank IS NOT NULL AND value IS NOT NULL")
+
+    words = F.split(F.translate(F.lower(F.trim(F.concat_ws(" ", attr("property"), attr("name")))), ".", ":"), r"\s+")
+
+    def rank_of(names):
+        places = F.transform(words, lambda w: F.nullif(F.array_position(F.array(*[F.lit(x) for x in names]), w), F.lit(0)))
+        return F.array_min(places)
+
+    of_meta = told(el.where("tag = 'meta'"), [place(f, rank_of(names), attr("content")) for f, names in META_NAMES.items()])
+    of_data = told(structured_data(nodes), [place(f, F.lit(RANK_STRUCTURED), F.col(f)) for f in META_NAMES])
+    # elements that tell by their text, the outermost of them, so that no text is read twice
+    props = F.split(F.lower(F.trim(F.coalesce(attr("itemprop"), F.lit("")))), r"\s+")
+    item = {f: F.array_contains(props, name) for f, name in ITEM_PROPS.items()}
+    item["byline"] = item["byline"] | F.coalesce(F.array_contains(F.split(F.lower(attr("rel")), r"\s+"), "author") & (F.col("tag") == "a"), F.lit(False))
+    tells = F.col("tag").isin("title", "h1")
+    for is_item in item.values():
+        tells = tells | is_item
+    tells = is_el & (F.col("tag") != "meta") & tells
+    marked = nodes.select("page_id", "pre", "pre_end", "kind", "text", "tag", tells.alias("_tells"), inside_marked(tells, strict=True).alias("_in"), F.coalesce(attr("content"), attr("datetime")).alias("_given"),
+                          *[F.when(tells, x).otherwise(False).alias(f"_is_{f}") for f, x in item.items()])
+    order = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    held = marked.withColumn("_mark", F.last(F.when(F.col("_tells") & ~F.col("_in"), F.struct("pre", "pre_end")), ignorenulls=True).over(order))
+    owned = held.where("_mark.pre_end >= pre AND (kind = 'text' OR pre = _mark.pre)")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pre", "text")))), lambda x: x["text"]), "")
+    root = F.col("pre") == F.col("_mark.pre")
+    texts = owned.groupBy("page_id", F.col("_mark.pre").alias("_root")).agg(
+        whole.alias("_text"), *[F.max(F.when(root, F.col(c))).alias(c) for c in ("tag", "_given", *[f"_is_{f}" for f in item])]).withColumnRenamed("_root", "pre")
+    by_item = [place(f, F.when(F.col(f"_is_{f}"), RANK_ITEM), F.coalesce("_given", "_text")) for f in item]
+    document = place("title", F.when(F.col("tag") == "title", RANK_DOCUMENT), title_part(clean(F.col("_text"))))
+    heading = place("title", F.when(F.col("tag") == "h1", RANK_HEADING), F.col("_text"))
+    places = of_meta.unionByName(of_data).unionByName(told(texts, [*by_item, document, heading]))  # some rows a page
+    best = lambda f: F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.struct("rank", "pre"))).alias(f)
+    fields = places.groupBy("page_id").agg(*[best(f) for f in META_NAMES])
+
+    def of_html(name):
+        return F.min_by(attr(name), F.when((F.col("tag") == "html") & attr(name).isNotNull(), F.col("pre"))).alias(name)
+
+    return el.groupBy("page_id").agg(of_html("lang"), of_html("dir")).join(fields, "page_id", "left")
 
 
 def first_paragraph(nodes: DataFrame, el: DataFrame, best: DataFrame) -> DataFrame:
