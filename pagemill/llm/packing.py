@@ -3,8 +3,9 @@
 Documents become pieces of at most ``CAPACITY`` tokens. Only their lengths
 matter for the packing, so the plan is made from the counts by length, at most
 ``CAPACITY`` numbers: for the longest length left, combinations of one, two or
-three lengths that exactly fill its gap are looked up by their sum and used as
-often as all of them are available. What finds no complement is placed by best
+three lengths that exactly fill its gap are looked up by their sum, in tables
+built from the lengths there are, and used as often as all of them are
+available. The tables hold at most ``CAPACITY`` ** 2 numbers together. What finds no complement is placed by best
 fit. The plan is a list of patterns with how often each is used, and is bounded
 by the capacity, not by the corpus.
 
@@ -72,35 +73,85 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return tokens.mapInArrow(run, f"_bp_rid long, _bp_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+def pair_sums(lengths: np.ndarray, capacity: int) -> dict[int, np.ndarray]:
+    """sum -> the longer members of the pairs of ``lengths`` (ascending) that add up to it, longest first."""
+    long, short = np.meshgrid(lengths, lengths, indexing="ij")
+    ok = (short <= long) & (long + short < capacity)
+    long, total = long[ok], (long + short)[ok]
+    order = np.lexsort((-long, total))
+    long, total = long[order].astype(np.int32), total[order]
+    sums, first = np.unique(total, return_index=True)
+    return dict(zip(sums.tolist(), np.split(long, first[1:])))
+
+
+def triple_sums(lengths: np.ndarray, pairs: dict[int, np.ndarray], capacity: int) -> dict[int, np.ndarray]:
+    """sum -> the longest members of the triples that add up to it, longest first;
+    the other two are a pair in ``pairs`` with no longer member."""
+    least = np.full(capacity + 1, capacity + 1)
+    for total, long in pairs.items():
+        least[total] = long[-1]
+    down, out = lengths[::-1].astype(np.int32), {}
+    for total in range(3, capacity):
+        long = down[down < total]
+        long = long[least[total - long] <= long]
+        if len(long):
+            out[total] = long
+    return out
+
+
 class Supply:
-    """How many pieces of each length are left, with a look-up of sums."""
+    """How many pieces of each length are left, and tables from sums to the
+    combinations of two and three lengths that make them.
+
+    The tables are built once from the lengths at hand. Supplies only shrink, so
+    what is no longer available leaves its table when it is met and is not met
+    again. A sum's triples serve the one length whose gap it is.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
-
-    def single(self, total: int):
-        return (total,) if self.left[total] else None
-
-    def pair(self, total: int, most: int | None = None):
-        """Two lengths with this sum, the longer one as long as there is and at most ``most``."""
-        most = min(total - 1, most or total)
-        long = np.arange(most, (total - 1) // 2, -1)
-        ok = (self.left[long] > 0) & (self.left[total - long] > 0) if len(long) else np.zeros(0, bool)
-        for a in long[ok].tolist():
-            if a != total - a or self.left[a] > 1:
-                return (a, total - a)
-        return None
-
-    def triple(self, total: int):
-        for a in (np.flatnonzero(self.left[:max(0, total - 1)])[::-1]).tolist():
-            if 3 * a < total:
+        lengths = np.flatnonzero(self.left[:capacity])
+        self.pairs = pair_sums(lengths, capacity)
+        self.triples = triple_sums(lengths, self.pairs, capacity)
+
+    def _free(self, aside: tuple[int, ...]) -> np.ndarray:
+        free = self.left.copy()
+        np.subtract.at(free, list(aside), 1)
+        return free
+
+    def single(self, total: int, aside: tuple[int, ...] = ()):
+        return (total,) if self._free(aside)[total] > 0 else None
+
+    def pair(self, total: int, aside: tuple[int, ...] = (), most: int | None = None):
+        """Two lengths with this sum, the longer one as long as there is and at most
+        ``most``; ``aside`` is taken already."""
+        row = self.pairs.get(total)
+        if row is None:
+            return None
+        both = np.where(2 * row == total, 2, 1)
+        held = (self.left[row] >= both) & (self.left[total - row] > 0)
+        if not held.all():
+            row, both = row[held], both[held]
+            if not len(row):
+                del self.pairs[total]
                 return None
-            self.left[a] -= 1
-            rest = self.pair(total - a, a)
-            self.left[a] += 1
+            self.pairs[total] = row
+        free = self._free(aside)
+        ok = (free[row] >= both) & (free[total - row] > 0)
+        if most is not None:
+            ok &= row <= most
+        at = int(ok.argmax())
+        return (int(row[at]), total - int(row[at])) if ok[at] else None
+
+    def triple(self, total: int, aside: tuple[int, ...] = ()):
+        row = self.triples.pop(total, np.zeros(0, np.int32))
+        free = self._free(aside)
+        for k, a in enumerate(row.tolist()):
+            rest = self.pair(total - a, (*aside, a), a) if free[a] > 0 else None
             if rest:
+                self.triples[total] = row[k:]
                 return (a, *rest)
         return None
 
@@ -120,10 +171,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         out.append(((capacity,), supply.take((capacity,))))
     for length in range(capacity - 1, 0, -1):
         while supply.left[length]:
-            supply.left[length] -= 1  # the one whose gap is filled
-            gap = capacity - length
-            fill = supply.single(gap) or supply.pair(gap) or supply.triple(gap)
-            supply.left[length] += 1
+            gap, own = capacity - length, (length,)
+            fill = supply.single(gap, own) or supply.pair(gap, own) or supply.triple(gap, own)
             if not fill:
                 break
             times = supply.take((length, *fill))

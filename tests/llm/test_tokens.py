@@ -98,6 +98,84 @@ def test_plan_finds_exact_complements():
     assert sorted(packing.plan({20: 1, 10: 1, 15: 1, 9: 1, 6: 1, 12: 1, 8: 1, 7: 1, 3: 1}, 30)) == sorted([((20, 10), 1), ((15, 12, 3), 1), ((9, 8, 7, 6), 1)])
 
 
+def scanned_plan(counts, capacity):
+    """The plan by trying all combinations for every gap: no tables."""
+    left, out = Counter(counts), []
+
+    def fill(gap):
+        if left[gap] > 0:
+            return (gap,)
+        for a in range(gap - 1, 0, -1):
+            if a >= gap - a and left[a] > (a == gap - a) and left[gap - a] > 0:
+                return (a, gap - a)
+        for a in range(gap - 2, 0, -1):
+            for b in range(min(a, gap - a - 1), 0, -1):
+                c = gap - a - b
+                if c <= b and all(left[x] >= n for x, n in Counter((a, b, c)).items()):
+                    return (a, b, c)
+        return None
+
+    for length in range(capacity, 0, -1):
+        while left[length]:
+            left[length] -= 1
+            found = fill(capacity - length) if length < capacity else ()
+            left[length] += 1
+            if found is None:
+                break
+            need = Counter((length, *found))
+            times = min(left[x] // n for x, n in need.items())
+            for x, n in need.items():
+                left[x] -= times * n
+            out.append(((length, *found), times))
+    return out + packing.best_fit({x: n for x, n in left.items() if n}, capacity)
+
+
+@settings(max_examples=300, deadline=None)
+@given(counts=st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=40), capacity=st.sampled_from([40, 41]))
+def test_plan_by_tables_is_the_one_found_by_trying_all(counts, capacity):
+    assert packing.plan(counts, capacity) == scanned_plan(counts, capacity)
+
+
+@settings(max_examples=100, deadline=None)
+@given(lengths=st.sets(st.integers(1, 40), max_size=40))
+def test_sum_tables(lengths):
+    have = np.array(sorted(lengths), int)
+    pairs = packing.pair_sums(have, 40) if lengths else {}
+    want = {}
+    for a in sorted(lengths, reverse=True):
+        for b in lengths:
+            if b <= a and a + b < 40:
+                want.setdefault(a + b, []).append(a)
+    assert {k: v.tolist() for k, v in pairs.items()} == want
+    triples = {k: v.tolist() for k, v in packing.triple_sums(have, pairs, 40).items()}
+    sums = {}
+    for a in sorted(lengths, reverse=True):
+        for total in {a + b + c for b in lengths for c in lengths if c <= b <= a and a + b + c < 40}:
+            sums.setdefault(total, []).append(a)
+    assert triples == sums
+
+
+def test_spent_combinations_leave_the_tables():
+    supply = packing.Supply({5: 1, 4: 1, 3: 2, 2: 1, 1: 2}, 20)
+    assert supply.pair(7) == (5, 2) and supply.take((5, 2)) == 1
+    assert supply.pair(7) == (4, 3) and supply.pairs[7].tolist() == [4]
+    assert supply.pair(6) == (3, 3) and supply.pair(6, aside=(3,)) is None
+    assert supply.triple(8) == (4, 3, 1) and supply.take((4, 3, 1)) == 1
+    assert supply.pair(7) is None and 7 not in supply.pairs and supply.triple(8) is None
+
+
+def test_plan_of_many_lengths_makes_few_look_ups(monkeypatch):
+    rng, calls = random.Random(5), Counter()
+    for name in ("pair", "triple"):
+        def counted(self, *args, _of=getattr(packing.Supply, name), _name=name, **kw):
+            calls[_name] += 1
+            return _of(self, *args, **kw)
+        monkeypatch.setattr(packing.Supply, name, counted)
+    lengths = Counter(rng.randrange(1, packing.CAPACITY) for _ in range(20_000))
+    plan = packing.plan(lengths)
+    assert calls["pair"] < 200_000 and calls["triple"] <= len(plan)
+
+
 def test_packing_digest(table, library, tokenizer_path):
     got = packing.digest(table(extra=CLASH | {"length": "5", "start": "6"}), tokenizer_path).collect()
     assert len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // packing.CAPACITY)
