@@ -14,6 +14,9 @@ Ranges are of equal width in slots, and positions in the training order are
 dense: a shard's first position is the number of sequences in the shards
 before it.
 
+``read`` gives the sequences from any position on, so a training run that stopped
+goes on where it was; with the manifest kept beside the shards it needs nothing else.
+
 A shard is written under another name and renamed, so a task that is run again
 replaces its file whole. The order depends on the key and on how the input is
 split into partitions.
@@ -44,6 +47,8 @@ SHARD_SLOTS = 1 << 15
 END_ID, PAD_ID = 50256, 50256
 #: The order's key.
 KEY = 20240229
+#: Positions that a reading task takes in one run, and records it hands on at once.
+STRETCH, READ_ROWS = 1 << 12, 1 << 10
 #: Rounds of the Feistel network.
 ROUNDS = 6
 
@@ -158,6 +163,46 @@ def write(docs: DataFrame, path: str, to: str, text_col: str = "text", length: i
     return saved.join(before, "shard").select((F.col("_tm_first") + (F.col("offset") / width).cast("long")).alias("position"), "shard", "offset", "n_tokens", "crc32", "sequence_index")
 
 
+def keep_manifest(manifest: DataFrame, to: str) -> DataFrame:
+    """Stores the manifest beside its shards, and gives it back as read from there."""
+    manifest.write.mode("overwrite").parquet(f"{to}/manifest")
+    return manifest.sparkSession.read.parquet(f"{to}/manifest")
+
+
+def read(manifest: DataFrame, to: str, path: str, from_position: int = 0, length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
+    """(position, n_tokens, ids) of the sequences from a position of the training
+    order on, ids as little-endian unsigned integers of 16 or 32 bits, padded.
+
+    Tasks read stretches of the order: a stretch is a run of records in one shard
+    or in a few that follow each other. A record of another check sum than the
+    manifest's, or one cut short, is an error. Past the end there are no rows.
+    """
+    width = length * np.dtype(_kind(path)).itemsize
+    rows = manifest.where(F.col("position") >= from_position).select("position", "shard", "offset", "n_tokens", "crc32")
+    placed = rows.repartition(F.floor(F.col("position") / stretch)).sortWithinPartitions("position")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(to)
+        now, file = None, None
+        for batch in batches:
+            for begin in range(0, batch.num_rows, READ_ROWS):
+                part, ids = batch.slice(begin, READ_ROWS), []
+                for shard, offset, crc in zip(pick(part, "shard").to_pylist(), pick(part, "offset").to_pylist(), pick(part, "crc32").to_pylist()):
+                    if shard != now:
+                        if file:
+                            file.close()
+                        now, file = shard, store.open_input_file(f"{folder}/shard-{shard:06d}.bin")
+                    raw = file.read_at(width, offset)
+                    if zlib.crc32(raw) != crc:
+                        raise ValueError(f"shard {shard}, offset {offset}: not the record that was written")
+                    ids.append(raw)
+                yield pa.RecordBatch.from_arrays([pick(part, "position"), pick(part, "n_tokens"), pa.array(ids, pa.binary())], names=["position", "n_tokens", "ids"])
+        if file:
+            file.close()
+
+    return placed.mapInArrow(load, "position long, n_tokens int, ids binary")
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """One row per sequence in training order: position, shard, offset, n_tokens, crc32, sequence_index."""
     to = shared_path(docs.sparkSession, "shards")
