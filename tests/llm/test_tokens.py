@@ -286,7 +286,10 @@ def test_oracle(spark, table, name, tmp_path):
 
     spark.createDataFrame([d for d in DOCS if d[0] != 8], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
-    for t in ("documents", "embeddings"):
+    page = "<p>" + "one page twice " * 10
+    pages = [(3, "a", page), (1, "b", page), (2, "c", "short"), (4, "d", "short"), (5, "e", None), (6, "f", page + "é")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    for t in ("documents", "embeddings", "pages"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = duckdb.sql(ORACLE[name])
     order = sorted(want.columns)
