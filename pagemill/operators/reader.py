@@ -45,41 +45,22 @@ CONTAINER_TAGS = ["article", "main", "section", "div", "body", "td", "blockquote
 SKIP_TAGS = ["script", "style", "noscript", "template", "head"]
 
 
-def element_text(nodes: DataFrame) -> DataFrame:
-    """Element rows with ``text_chars``, ``link_chars``, ``p_chars`` and the
-    trimmed text length of the subtree."""
+def element_text(nodes: DataFrame, own: str | None = None) -> DataFrame:
+    """Element rows with ``text_chars``, ``link_chars`` and ``p_chars`` of the
+    subtree; with ``own``, a whole number that every node has, also ``own_chars``:
+    its sum over the texts that ``p_chars`` counts."""
     el_ = F.col("kind") == "element"
     n = open_counts(nodes, {"_c_skip": (el_ & F.col("tag").isin(SKIP_TAGS), False),
                             "_c_a": (el_ & (F.col("tag") == "a"), False),
                             "_c_p": (el_ & (F.col("tag") == "p"), False)})
-    n = (n.withColumn("_skip", F.col("_c_skip") > 0).withColumn("_in_a", F.col("_c_a") > 0)
-          .withColumn("_in_p", F.col("_c_p") > 0).drop("_c_skip", "_c_a", "_c_p"))
-    t = F.when((F.col("kind") == "text") & ~F.col("_skip"), utf16_len("text")).otherwise(F.lit(0))
-    n = (n.withColumn("_t", t)
-         .withColumn("_ta", F.when(F.col("_in_a"), F.col("_t")).otherwise(0))
-         .withColumn("_tp", F.when(F.col("_in_p"), F.col("_t")).otherwise(0)))
-    # an element emits open (pre - 0.5) and close (pre_end + 0.5) events from
-    # its own row (explode, no union, so the page partitioning is kept);
-    # running sums read at both give subtree totals even when the row at
-    # pre_end was removed
-    narrow = n.select("page_id", "pre", "pre_end", "kind", "_t", "_ta", "_tp")
-    node_ev = F.struct(F.col("pre").cast("double").alias("_pos"), F.lit(0).alias("_side"),
-                       F.col("_t").alias("t"), F.col("_ta").alias("ta"), F.col("_tp").alias("tp"))
-    open_ev = F.struct((F.col("pre") - F.lit(0.5)).alias("_pos"), F.lit(1).alias("_side"),
-                       F.lit(0).alias("t"), F.lit(0).alias("ta"), F.lit(0).alias("tp"))
-    close_ev = F.struct((F.col("pre_end") + F.lit(0.5)).alias("_pos"), F.lit(2).alias("_side"),
-                        F.lit(0).alias("t"), F.lit(0).alias("ta"), F.lit(0).alias("tp"))
-    is_el = F.col("kind") == "element"
-    u = narrow.withColumn("_e", F.explode(F.when(is_el, F.array(open_ev, node_ev, close_ev)).otherwise(F.array(node_ev))))
-    w = Window.partitionBy("page_id").orderBy(F.col("_e._pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = (u.withColumn("_c", F.sum("_e.t").over(w)).withColumn("_ca", F.sum("_e.ta").over(w))
-          .withColumn("_cp", F.sum("_e.tp").over(w)))
-    tot = u.where(F.col("_e._side") > 0).groupBy("page_id", "pre").agg(
-        (F.max(F.when(F.col("_e._side") == 2, F.col("_c"))) - F.max(F.when(F.col("_e._side") == 1, F.col("_c")))).alias("text_chars"),
-        (F.max(F.when(F.col("_e._side") == 2, F.col("_ca"))) - F.max(F.when(F.col("_e._side") == 1, F.col("_ca")))).alias("link_chars"),
-        (F.max(F.when(F.col("_e._side") == 2, F.col("_cp"))) - F.max(F.when(F.col("_e._side") == 1, F.col("_cp")))).alias("p_chars"))
-    e = n.where(is_el).select("page_id", "pre", "pre_end", "depth", "tag", "attrs")
-    return e.join(tot, ["page_id", "pre"])
+    said = (F.col("kind") == "text") & (F.col("_c_skip") == 0)
+    sums = {"text_chars": F.when(said, utf16_len("text")),
+            "link_chars": F.when(said & (F.col("_c_a") > 0), utf16_len("text")),
+            "p_chars": F.when(said & (F.col("_c_p") > 0), utf16_len("text"))}
+    if own is not None:
+        sums["own_chars"] = F.when(said & (F.col("_c_p") > 0), F.col(own))
+    e = nodes.where(el_).select("page_id", "pre", "pre_end", "depth", "tag", "attrs")
+    return e.join(subtree_sums(n, sums), ["page_id", "pre"])
 
 
 def trimmed_lengths(nodes: DataFrame, tags) -> DataFrame:

@@ -147,3 +147,24 @@ def subtree_sums(nodes: DataFrame, measures: dict, key_cols=("page_id",)) -> Dat
     e = e.select(*keys, "pre", "_e._side", *[F.sum(f"_e.{c}").over(w).alias(c) for c in names]).where("_side > 0")
     at = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
     return e.groupBy(*keys, "pre").agg(*[(at(2, c) - at(1, c)).alias(c) for c in names])
+
+
+def open_sums(nodes: DataFrame, measures: dict, key_cols=("page_id",)) -> DataFrame:
+    """``nodes`` plus one column per measure: the sum over a node's ancestors and
+    itself of a whole number that each element has.
+
+    An element's own row gives its value before its subtree and takes it back
+    behind; a running sum in document order holds what is open. One window.
+    """
+    keys, names = _keys(key_cols), list(measures)
+    is_el = F.col("kind") == "element"
+
+    def event(pos, node, sign):
+        return F.struct(pos.cast("double").alias("_pos"), F.lit(node).alias("_node"),
+                        *[(F.when(is_el, measures[c]).otherwise(0).cast("long") * F.lit(sign)).alias(c) for c in names])
+
+    both = F.array(event(F.col("pre"), True, 1), event(F.col("pre_end") + F.lit(0.5), False, -1))
+    e = nodes.withColumn("_e", F.explode(F.when(is_el, both).otherwise(F.slice(both, 1, 1))))
+    # of elements that end together the order does not matter: all of them are closed before the next node
+    w = Window.partitionBy(*keys).orderBy("_e._pos").rowsBetween(Window.unboundedPreceding, 0)
+    return e.select(*nodes.columns, "_e._node", *[F.sum(f"_e.{c}").over(w).alias(c) for c in names]).where("_node").drop("_node")

@@ -159,6 +159,13 @@ def i2_nav_links(spark, sf_dir):
     return stats.where(F.col("selector") == "nav").select("host", F.col("link_chars").cast("long").alias("link_chars"))
 
 
+@register("i2_paths")
+def i2_paths(spark, sf_dir):
+    """Every path of signatures of a host, so one signature in two places makes two rows."""
+    pages, cleaned = _mined(spark, sf_dir)
+    return I.path_stats(cleaned, pages)
+
+
 @register("i2_repeats")
 def i2_repeats(spark, sf_dir):
     pages, cleaned = _mined(spark, sf_dir)
