@@ -7,9 +7,10 @@ d + 1, and is dropped as soon as d exceeds the budget. Pairs of single
 fingerprints are compared by their remaining bits.
 
 The upper levels are dealt out: subtrees of at most ``node_fps`` fingerprints
-are found from prefix counts, and each pair of subtrees within the budget is a
-task. A task returns a spanning forest of its links, never all pairs, and the
-forests' components are found by joins.
+(or of four 65,536ths of all, where that is more) are found from prefix counts,
+which go on under those prefixes alone that hold more, and each pair of subtrees
+within the budget is a task. A task returns a spanning forest of its links, never
+all pairs, and the forests' components are found by joins.
 
 Defined results: a null or empty text has fingerprint zero; a null id is never
 a component's name unless it has no other; repeated rows share a fingerprint;
@@ -18,7 +19,9 @@ an empty table gives no rows; internal names begin with ``_sh_``.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,12 @@ WORDS = 4
 MAX_BITS = 4
 #: Fingerprints in a subtree that is one side of a task.
 NODE_FPS = 1 << 14
-#: Prefix bits by which subtrees are told apart.
-PREFIX_BITS = 16
+#: The driver takes at most 2**COUNT_BITS prefix counts at a time.
+COUNT_BITS = 16
+#: Subtrees whose neighbours a dealing task remembers.
+REMEMBERED = 1 << 12
+#: By depth, the bits of a path.
+PATH = np.array([(1 << 64) - (1 << 64 - d) for d in range(65)], np.uint64)
 #: Node pairs expanded at once, and links kept before they are reduced to a forest.
 CHUNK = 1 << 16
 
@@ -138,44 +145,62 @@ def forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
-def _subtrees(fps: DataFrame, node_fps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefixes and depths of subtrees with at most ``node_fps`` values each
-    (or with ``PREFIX_BITS`` bits), in order; from at most 2**PREFIX_BITS counts."""
-    counts = np.zeros(1 << PREFIX_BITS, np.int64)
-    for prefix, n in fps.groupBy(F.shiftrightunsigned("_sh_fp", 64 - PREFIX_BITS).alias("p")).count().collect():
-        counts[prefix] = n
-    total = np.concatenate([[0], np.cumsum(counts)])
-    nodes, stack = [], [(0, 0)]
-    while stack:
-        prefix, depth = stack.pop()
-        width = 1 << (PREFIX_BITS - depth)
-        n = total[(prefix + 1) * width] - total[prefix * width]
-        if n and (n <= node_fps or depth == PREFIX_BITS):
-            nodes.append((prefix, depth))
-        elif n:
-            stack += [(2 * prefix + 1, depth + 1), (2 * prefix, depth + 1)]
-    return np.array([p for p, _ in nodes], np.int64), np.array([d for _, d in nodes], np.int64)
-
-
-def trie_links(fps: DataFrame, max_bits: int = MAX_BITS, node_fps: int = NODE_FPS) -> DataFrame:
+def _subtrees(fps: DataFrame, node_fps: int, count_bits: int = COUNT_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """First values and depths of the subtrees, in order.
+
+    Prefixes are counted by ``count_bits`` bits, then under those with too many
+    values by as many more bits as keep the counts within ``2**count_bits``. Too
+    many is over ``node_fps`` and over four ``2**count_bits``-ths of all, so at
+    most a quarter of ``2**count_bits`` prefixes go on.
+    """
+    def prefix(bits: int):
+        return F.shiftrightunsigned("_sh_fp", 64 - bits)
+
+    nodes, heavy, depth, most = [], [0], 0, node_fps
+    while heavy:
+        to = min(64, depth + max(1, count_bits - (len(heavy) - 1).bit_length()))
+        rows = fps
+        if depth:  # at most 2**count_bits / 4 prefixes
+            under = fps.sparkSession.createDataFrame([(h,) for h in heavy], "_sh_p long")
+            rows = fps.join(F.broadcast(under), prefix(depth) == F.col("_sh_p"), "left_semi")
+        counts = sorted((p & PATH[64].item(), n) for p, n in rows.groupBy(prefix(to)).count().collect())
+        firsts, total = [p for p, _ in counts], [0, *accumulate(n for _, n in counts)]
+        if not depth:
+            most = max(node_fps, -(-4 * total[-1] >> count_bits))
+        stack, heavy = [(h, depth) for h in heavy], []
+        while stack:
+            p, d = stack.pop()
+            n = total[bisect_left(firsts, p + 1 << to - d)] - total[bisect_left(firsts, p << to - d)]
+            if n and n <= most:
+                nodes.append((p << 64 - d, d))
+            elif n and d == to:
+                heavy.append(p)
+            elif n:
+                stack += [(2 * p + 1, d + 1), (2 * p, d + 1)]
+        depth = to
+    nodes.sort()
+    return np.array([p for p, _ in nodes], np.uint64), np.array([d for _, d in nodes], np.int64)
+
+
+def trie_links(fps: DataFrame, max_bits: int = MAX_BITS, node_fps: int = NODE_FPS, count_bits: int = COUNT_BITS) -> DataFrame:
     """A spanning forest (a, b) of the links between distinct fingerprints ``_sh_fp``."""
-    prefixes, depths = _subtrees(fps, node_fps)
-    n_nodes = len(prefixes)
-    starts = prefixes << (PREFIX_BITS - depths)
+    starts, depths = _subtrees(fps, node_fps, count_bits)
+    n_nodes = len(starts)
 
     def near(node: int) -> np.ndarray:
         """Subtrees whose paths differ from this one's within the budget."""
-        shared = np.minimum(depths, depths[node])
-        differ = np.bitwise_count((prefixes >> (depths - shared)) ^ (prefixes[node] >> (depths[node] - shared)))
-        return np.flatnonzero(differ <= max_bits)
+        shared = PATH[np.minimum(depths, depths[node])]
+        return np.flatnonzero(np.bitwise_count((starts ^ starts[node]) & shared) <= max_bits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             fp = pick(batch, "_sh_fp").to_numpy()
-            node = np.searchsorted(starts, (fp.view(np.uint64) >> np.uint64(64 - PREFIX_BITS)).astype(np.int64), side="right") - 1
+            node = np.searchsorted(starts, fp.view(np.uint64), side="right") - 1
             for k in np.unique(node).tolist():
                 if k not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
                     known[k] = near(k)
                 mine, others = fp[node == k], known[k]
                 task = np.minimum(others, k) * n_nodes + np.maximum(others, k)
@@ -187,9 +212,8 @@ def trie_links(fps: DataFrame, max_bits: int = MAX_BITS, node_fps: int = NODE_FP
         values = np.sort(np.concatenate([unsqueeze(x) for x in group.column("fps").to_pylist()]))
         depth = int(min(depths[u], depths[v]))
         trie = Trie(values, depth)
-        top = (values[trie.first] >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(1, np.int64)
-        i = np.searchsorted(top, prefixes[u] >> (depths[u] - depth))
-        j = np.searchsorted(top, prefixes[v] >> (depths[v] - depth))
+        top = values[trie.first] & PATH[depth]
+        i, j = np.searchsorted(top, starts[[u, v]] & PATH[depth])
         d = np.bitwise_count(np.array([top[i] ^ top[j]]))
         root = forest(len(values), trie.pairs(np.array([i], np.int32), np.array([j], np.int32), d.astype(np.int8), max_bits))
         linked = np.flatnonzero(root != np.arange(len(values)))

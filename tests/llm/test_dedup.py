@@ -58,6 +58,30 @@ def test_simhash_digest(table):
     assert Counter((r.doc_id, r.component_id) for r in out) == Counter((DOCS[i][0], least[label[i]]) for i in range(len(DOCS)))
 
 
+def test_heavy_prefixes_are_split_below_their_first_bits(spark):
+    """Fingerprints of one 40-bit prefix: no subtree holds more than it may, and no link is lost."""
+    rng = np.random.default_rng(5)
+    hot = (np.uint64(0xABCDEF0123 << 24) | rng.integers(0, 1 << 24, 1500, np.uint64))
+    values = np.unique(np.concatenate([hot, hot[:200] ^ np.uint64(1 << 63), rng.integers(0, 1 << 63, 100, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]))
+    fps = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "_sh_fp long")
+    starts, depths = simhash._subtrees(fps, 50, 8)
+    sizes = np.diff(np.append(np.searchsorted(values, starts), len(values)))
+    assert sizes.sum() == len(values) and 0 < sizes.min() and sizes.max() <= 50 and depths.max() > 40
+    root = {int(v): int(v) for v in values.view(np.int64)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, v in enumerate(values):
+        for w in values[k + 1:][np.bitwise_count(values[k + 1:] ^ v) <= 4]:
+            a, b = sorted((find(int(v.view(np.int64))), find(int(w.view(np.int64)))))
+            root[b] = a
+    got = {r.node: r.root for r in components(simhash.trie_links(fps, 4, 50, 8)).collect()}
+    assert {x: got.get(x, x) for x in root} == {x: find(x) for x in root}
+
+
 @pytest.mark.parametrize("node_fps", [1, 40, 10_000])
 def test_trie_join_finds_all_links_in_any_dealing(spark, node_fps):
     rng = np.random.default_rng(7)
