@@ -241,21 +241,29 @@ def _add_to_schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, text_col: str, path: str, ids_col: str = "ids", spread_chars: int = SPREAD_CHARS) -> DataFrame:
-    """``df`` with its texts' ids as little-endian unsigned 32-bit integers (binary)."""
+def encode(df: DataFrame, text_col: str, path: str, ids_col: str = "ids", spread_chars: int = SPREAD_CHARS, then=None, then_schema: str | None = None) -> DataFrame:
+    """``df`` with its texts' ids as little-endian unsigned 32-bit integers (binary).
+
+    ``then``, a function of Arrow batches whose result has ``then_schema``, is
+    applied to them in the same Python worker, so that texts and ids do not go
+    back and a task needs no second worker."""
     schema = _add_to_schema(df, ids_col, T.BinaryType())
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in slices(batches, text_col):
             texts = pick(batch, text_col).to_pylist()
             yield _with_column(batch, ids_col, pa.array(list(map(bpe.encode, texts)), pa.binary()))
 
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(ids(batches)) if then else ids(batches)
+
     long_one = F.length(text_col) > spread_chars
-    out = df.where(~F.coalesce(long_one, F.lit(False))).mapInArrow(short, schema)
+    out = df.where(~F.coalesce(long_one, F.lit(False))).mapInArrow(short, then_schema if then else schema)
     if spread_chars >= 1 << 30:
         return out
-    return out.unionByName(_encode_long(df.where(long_one), text_col, path, ids_col, spread_chars, schema))
+    rest = _encode_long(df.where(long_one), text_col, path, ids_col, spread_chars, schema)
+    return out.unionByName(rest.mapInArrow(then, then_schema) if then else rest)
 
 
 def _encode_long(df: DataFrame, text_col: str, path: str, ids_col: str, part_chars: int, schema: T.StructType) -> DataFrame:

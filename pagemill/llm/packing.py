@@ -51,7 +51,6 @@ def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, bytes]]:
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The documents' pieces: ``_bp_rid``, ``_bp_id``, piece, start, length, ids_crc32."""
     rows = with_rid(docs.select(F.col(id_col).alias("_bp_id"), F.col(text_col).alias("_bp_text")), "_bp_rid")
-    tokens = bpe.encode(rows, "_bp_text", path, "_bp_ids").select("_bp_rid", "_bp_id", "_bp_ids")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +69,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 names=["_bp_rid", "_bp_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(rows.dtypes)["_bp_id"]
-    return tokens.mapInArrow(run, f"_bp_rid long, _bp_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return bpe.encode(rows, "_bp_text", path, "_bp_ids", then=run, then_schema=f"_bp_rid long, _bp_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pair_sums(lengths: np.ndarray, capacity: int) -> dict[int, np.ndarray]:

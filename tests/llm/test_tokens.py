@@ -73,6 +73,12 @@ def test_bpe_refuses_a_clashing_output_column(table, tokenizer_path):
 
 
 # -- packing ---------------------------------------------------------------
+
+def test_pieces_are_cut_where_texts_are_encoded(table, tokenizer_path):
+    """No second Python worker behind the encoder's: the rows of short and long texts meet last."""
+    plan = packing.pieces(table(), tokenizer_path)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union"
+
 @settings(max_examples=150, deadline=None)
 @given(lengths=st.lists(st.integers(1, 30), max_size=120))
 def test_plan_uses_every_piece_once(lengths):
