@@ -42,10 +42,12 @@ HOSTS_SCHEMA = "host string, waiting long, tried long, since long"
 
 def extract_batch(pages: DataFrame, presets: DataFrame, compiled: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """Batch form of the serving step: ``(extracts, queue)``."""
-    nodes = node_table(pages)
-    run = P.run_presets(nodes, pages, presets, compiled=compiled)
+    pairs = cut(P.page_presets(pages, presets))
+    known = pages.join(pairs.select("page_id").distinct(), "page_id", "left_semi").select(*pages.columns)
+    nodes = node_table(known)  # a page of a host without presets waits unparsed
+    run = P.run_presets(nodes, known, presets, pairs, compiled)
     chosen, queue = P.choose_preset(run, pages)
-    res, doc = P.apply_presets(run, nodes)
+    res, doc = P.apply_presets(P.only_pairs(run, chosen), nodes)
     md = render(doc, keys=("page_id", "preset_id"))
     ext = (chosen.join(res, ["page_id", "preset_id"]).join(md, ["page_id", "preset_id"], "left")
            .join(pages.select("page_id", "url"), "page_id")
