@@ -67,3 +67,19 @@ def test_only_chosen_presets_are_extracted_and_only_their_pages_parsed(spark, mo
     assert {(r.page_id, r.preset_id, r.markdown) for r in extracts.collect()} == {(0, 2, "one **two**\n"), (2, 2, "one **two**\n")}
     assert [r.page_id for r in queue.collect()] == [1]
     assert parsed == [2] and {(r.page_id, r.preset_id) for r in rendered[0]} == {(0, 2), (2, 2)}
+
+
+def test_page_tables_are_not_broadcast(spark):
+    """Tables that grow with the pages are merged, however few bytes their files take."""
+    from pagemill.operators.nodes import node_table
+    from pagemill.operators import presets as P
+    from pagemill.sources.pages import presets_frame
+
+    pages = spark.createDataFrame([(i, "http://a.example/x", "<nav>n</nav><article><h1>t</h1><p>x</p></article>") for i in range(40)], "page_id long, url string, html string")
+    presets = presets_frame(spark, [{"host": "a.example", "preset_match_detectors": ["nav"], "main_content_selectors": ["article", "article p"], "main_content_filters": ["h1:nth-child(1)", ".no"]}])
+    run = P.run_presets(node_table(pages), pages, presets)
+    chosen, _ = P.choose_preset(run, pages)
+    for r in (run, P.only_pairs(run, chosen)):
+        found = P.problems(r)
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert P.feedback(run).where("feedback LIKE '%.no%' AND feedback LIKE '%article → article p%' AND feedback LIKE '%nth-child(1)%'").count() == 40
