@@ -83,3 +83,16 @@ def test_page_tables_are_not_broadcast(spark):
         found = P.problems(r)
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     assert P.feedback(run).where("feedback LIKE '%.no%' AND feedback LIKE '%article → article p%' AND feedback LIKE '%nth-child(1)%'").count() == 40
+
+
+def test_open_marks_are_counted_in_one_window(spark, nodes):
+    """One sort of the nodes for all marks; a page's densities are read, not worked out, for their parents."""
+    from pagemill.operators import reader, structure
+
+    tagged = lambda t: (F.col("kind") == "element") & (F.col("tag") == t)
+    counted = structure.open_counts(nodes, {"_b": (tagged("body"), False), "_p": (tagged("p"), True), "_a": (tagged("a"), False)})
+    assert plan(counted, "sparkPlan").count("Window [") == 1
+    assert [(r._b, r._p, r._a) for r in counted.where("page_id = 1 AND kind = 'text'").orderBy("pre").collect()] == [(1, 0, 1), (1, 0, 0), (1, 1, 0), (1, 1, 0), (1, 1, 0)]
+    assert plan(markdown.prepare(nodes), "sparkPlan").count("Window [") == 2
+    told = plan(reader.densities(nodes), "sparkPlan")
+    assert told.count("pagemill_density") == 2 and "pagemill_nodes" not in told
